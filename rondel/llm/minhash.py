@@ -1,11 +1,11 @@
 """Near-duplicate detection by improved consistent weighted sampling.
 
-1. ``feature_counts``: document frequency of hashed five-word shingles, exact
-   per feature, over all documents. The table has ``FEATURES`` entries whatever
+1. ``feature_counts``: document frequency of five-word shingles, summed exactly
+   over all documents for each hashed feature. The table has ``FEATURES`` entries whatever
    the corpus holds, so its broadcast is bounded (1 MB).
 2. ``sketches``: each text becomes a weighted set (tf x idf per shingle) and
-   ``BANDS * ROWS`` consistent weighted samples. Equal word sequences share a
-   digest and are one node from there on.
+   ``BANDS * ROWS`` consistent weighted samples. Equal texts share a digest and
+   are one node from there on.
 3. Banding: nodes meet in a bucket (band, hash of its samples). Each bucket's
    members are compared with its least node; what stays apart is compared with
    the bucket's members of other classes (see ``near_duplicates``).
@@ -31,8 +31,8 @@ BANDS, ROWS = 12, 3
 #: Hashed features of the document-frequency table.
 FEATURES = 1 << 18
 #: In the second round, pairs whose samples agree in fewer places are left out;
-#: a pair at the threshold falls below with probability under 1e-7.
-LEAST_AGREE = 12
+#: a pair at the threshold falls below with probability under 2e-5.
+LEAST_AGREE = 18
 
 _CHUNK = 1024
 _LOW48 = np.uint64((1 << 48) - 1)
@@ -80,7 +80,7 @@ def _blocks(column: pa.Array):
 
 
 def feature_counts(docs: DataFrame) -> tuple[int, np.ndarray]:
-    """(documents, document frequency of each hashed feature), over all of ``docs``.
+    """(documents, sum of the document frequencies of each hashed feature's shingles), over all of ``docs``.
 
     A task sends one packed row per 1,024 features; sums run in two levels, so no
     task gathers a row from every other.
@@ -91,10 +91,8 @@ def feature_counts(docs: DataFrame) -> tuple[int, np.ndarray]:
         for batch in batches:
             n += batch.num_rows
             for _, _, data, offsets in _blocks(batch.column(0)):
-                row, key, _, _ = shingle_keys(data, offsets)
-                feature = (key & np.uint64(FEATURES - 1)).astype(np.int64)
-                pair = np.unique(row * FEATURES + feature)
-                table += np.bincount(pair % FEATURES, minlength=FEATURES)
+                _, key, _, _ = shingle_keys(data, offsets)
+                table += np.bincount((key & np.uint64(FEATURES - 1)).astype(np.int64), minlength=FEATURES)
         salt = int(np.random.default_rng().integers(64))
         yield packed([(-1, salt, np.array([n], np.int64))] if n else [])
         yield packed([(c, salt, part) for c in range(FEATURES // _CHUNK) if (part := table[c * _CHUNK : (c + 1) * _CHUNK]).any()])
@@ -128,11 +126,16 @@ def feature_counts(docs: DataFrame) -> tuple[int, np.ndarray]:
 
 
 def feature_weights(n: int, counts: np.ndarray) -> np.ndarray:
-    """Smoothed inverse document frequency; always over 0."""
-    return (np.log((n + 1.0) / (counts + 1.0)) + 1.0).astype(np.float32)
+    """Inverse document frequency, scaled to lie between 1 and about 1.5.
+
+    An unscaled one would let the size of a group of near copies drive them apart:
+    what they share becomes common and light, each one's edits stay rare and heavy.
+    """
+    rarity = np.log1p(n / np.maximum(counts, 1.0)) / np.log1p(max(n, 1))
+    return (1 + 0.5 * rarity).astype(np.float32)
 
 
-def _gamma_quantiles(size: int = 4096) -> np.ndarray:
+def _gamma_quantiles(size: int) -> np.ndarray:
     """Quantiles of the gamma distribution of shape 2 at the middles of ``size`` equal parts, by bisection."""
     p = (np.arange(size) + 0.5) / size
     low, high = np.zeros(size), np.full(size, 60.0)
@@ -154,8 +157,7 @@ def weighted_samples(row: np.ndarray, key: np.ndarray, weight: np.ndarray, rows:
     of the least ln c - r (t - b) - r.
     """
     if not _tables:
-        quantile = _gamma_quantiles()
-        _tables.extend([quantile, 1 / quantile, np.log(quantile)])
+        _tables.extend([r := _gamma_quantiles(1024), 1 / r, np.log(_gamma_quantiles(4096))])
     gamma, inverse, log_gamma = _tables
     out = np.zeros((rows, k), np.uint32)
     if not len(key):
@@ -164,22 +166,25 @@ def weighted_samples(row: np.ndarray, key: np.ndarray, weight: np.ndarray, rows:
     size = np.diff(np.append(start, len(row)))
     of = row[start]
     log_weight = np.log(weight).astype(np.float32)
-    base = mix(key + np.uint64(0x632BE59BD9B4E019))
+    base = (mix(key + np.uint64(0x632BE59BD9B4E019)) >> np.uint64(32)).astype(np.uint32)
     for j in range(k):
-        h = base * np.uint64(((j * 2 + 1) * 0xC2B2AE3D27D4EB4F | 1) % (1 << 64))
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        a = (h >> np.uint64(52)).astype(np.int32)
-        r = gamma[a]
-        b = ((h >> np.uint64(16)).astype(np.uint32) >> np.uint32(8)).astype(np.float32)
-        b *= np.float32(2.0**-24)
-        t = log_weight * inverse[a]
+        h = base ^ np.uint32((j + 1) * 0x9E3779B1 % (1 << 32))
+        h *= np.uint32(0x85EBCA6B)
+        h ^= h >> np.uint32(15)
+        h *= np.uint32(0xC2B2AE35)
+        h ^= h >> np.uint32(16)
+        a = (h >> np.uint32(22)).astype(np.intp)
+        r = gamma.take(a)
+        b = (h & np.uint32(1023)).astype(np.float32)
+        b *= np.float32(2.0**-10)
+        t = inverse.take(a)
+        t *= log_weight
         t += b
         np.floor(t, out=t)
         value = b - t
         value -= 1
         value *= r
-        value += log_gamma[((h >> np.uint64(40)) & np.uint64(4095)).astype(np.int32)]
+        value += log_gamma.take(((h >> np.uint32(10)) & np.uint32(4095)).astype(np.intp))
         least = np.minimum.reduceat(value, start)
         hit = np.flatnonzero(value == np.repeat(least, size))
         at = hit[np.searchsorted(hit, start)]
@@ -262,51 +267,70 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, class_id): class_id is the least doc_id of the document's class.
+def node_of(text: str = "text"):
+    """Digest of a text; equal texts are one node from the start, equal word sequences by a link of similarity 1."""
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
 
-    Two documents share a class if a chain of links joins them, a link being equal
-    word sequences or a weighted Jaccard similarity of at least ``SIMILARITY``.
 
-    Nulls and empty texts hold no words and are copies of each other; a null
-    doc_id keeps its row and takes part. Repeated rows each give a row. Other
-    columns are ignored. Words are compared in lower case.
-    """
+def classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, node, label): label is the least node of the class, for each row of ``docs``."""
     spark = docs.sparkSession
-    base = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("text"))
-    base = base.withColumn("node", F.unhex(F.md5(F.trim(F.regexp_replace("text", "[ \\t\\n\\r\\x0B\\f]+", " ")))))
+    base = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("text"), node_of().alias("node"))
     n, counts = feature_counts(base)
     weights = spark.sparkContext.broadcast(feature_weights(n, counts))
     rows = written(sketches(base, weights), "sketches")
     nodes = rows.filter("samples is not null").groupBy("node").agg(F.first("samples").alias("samples"))
     width = 4 * ROWS
-    bands = nodes.select("node", "samples", F.explode(F.array(*[F.struct(F.lit(j).alias("band"), F.substring("samples", j * width + 1, width).alias("value")) for j in range(BANDS)])).alias("b"))
-    bands = bands.select("node", "samples", F.xxhash64("b.band", "b.value").alias("bucket"))
+    bands = nodes.select("node", F.explode(F.array(*[F.struct(F.lit(j).alias("band"), F.substring("samples", j * width + 1, width).alias("value")) for j in range(BANDS)])).alias("b"))
+    bands = bands.select("node", F.xxhash64("b.band", "b.value").alias("bucket"))
     least = bands.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").select("bucket", "a")
     crowded = written(bands.join(least, "bucket"), "buckets")
-    texts = base.select("node", "text")
+    # The texts that can be compared, each once.
+    wanted = crowded.select("node").distinct()
+    texts = written(base.select("node", "text").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        found = written(texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "texts")
-        joined = pairs.join(found.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(found.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        return weighted_jaccard(joined, weights).filter(F.col("similarity") >= SIMILARITY).select("a", "b")
+        joined = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+        return written(weighted_jaccard(joined, weights).filter(F.col("similarity") >= SIMILARITY).select("a", "b"), "links")
 
     # First round: members of a bucket with its least node.
-    links = written(verified(written(crowded.filter("node > a").select("a", F.col("node").alias("b")).distinct(), "pairs")), "links")
+    links = verified(crowded.filter("node > a").select("a", F.col("node").alias("b")).distinct())
     labels = components(links)
     # Second round: members of the buckets that still hold more than one class, with those of other classes.
-    told = crowded.join(labels, "node", "left").select("bucket", "node", "samples", F.coalesce("label", "node").alias("label"), "a")
+    told = crowded.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"), "a")
     split = told.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("bucket")
-    rest = written(told.join(split, "bucket", "left_semi"), "rest")
-    agree = sum((F.substring("x.samples", 4 * j + 1, 4) == F.substring("y.samples", 4 * j + 1, 4)).cast("int") for j in range(BANDS * ROWS))
     # Pairs with the least node were tried in the first round.
-    x, y = rest.filter("node > a").alias("x"), rest.filter("node > a").alias("y")
+    rest = told.filter("node > a").join(split, "bucket", "left_semi")
+    rest = written(rest.join(nodes, "node"), "rest")
+    agree = sum((F.substring("x.samples", 4 * j + 1, 4) == F.substring("y.samples", 4 * j + 1, 4)).cast("int") for j in range(BANDS * ROWS))
+    x, y = rest.alias("x"), rest.alias("y")
     more = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & (agree >= LEAST_AGREE))
     more = written(more.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "pairs")
     if more.limit(1).count():
         labels = components(links.union(verified(more)))
-    classes = rows.select("doc_id", "node").join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"))
-    classes = written(classes, "classes")
-    first = classes.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    return classes.join(first, "label").select("doc_id", "class_id")
+    return rows.select("doc_id", "node").join(labels, "node", "left").select("doc_id", "node", F.coalesce("label", "node").alias("label"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, class_id): class_id is the least doc_id of the document's class.
+
+    Two documents share a class if a chain of links joins them, a link being equal
+    texts or a weighted Jaccard similarity of at least ``SIMILARITY``.
+
+    A null text is an empty one. Texts without words are linked to equal texts only;
+    a null doc_id keeps its row and takes part. Repeated rows each give a row, an empty
+    table none. Other columns are ignored. Words are compared in lower case.
+    """
+    told = written(classes(docs), "classes")
+    first = told.groupBy("label").agg(F.min("doc_id").alias("class_id"))
+    return told.join(first, "label").select("doc_id", "class_id")
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """One row of each class, with all its columns: of the least doc_id, rows without one last."""
+    told = classes(docs)
+    first = told.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("first"))
+    keep = first.select(F.col("first.doc_id").alias("__id"), F.col("first.node").alias("__node"))
+    keyed = docs.withColumn("__own", node_of())
+    kept = keyed.join(keep, (F.col("__own") == F.col("__node")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    return kept.dropDuplicates(["__own"]).select(*docs.columns)

@@ -7,21 +7,98 @@ from __future__ import annotations
 
 import importlib
 import importlib.util
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Vocabulary files, found by ``tokenizer_path``.
+RANKS, PIECES = "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model"
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer's file on the driver; executors get its bytes by broadcast."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def split_pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rondel.llm.url_filter import judged
+
+    return judged(table(spark, sf_dir, "pages"))
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rondel.llm.mixing import mixing_rates
+
+    return mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rondel.llm.pii import surrogates
+
+    return surrogates(table(spark, sf_dir, "documents"))
+
+
+def op4_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rondel.llm.webp import media_columns
+
+    return media_columns(table(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rondel.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rondel.llm.shared import shared_dir
+    from rondel.llm.token_counts import token_counts
+
+    # A cache of its own for each run, so that a run does all its work.
+    cache = f"{shared_dir(spark)}/token-counts-{uuid.uuid4().hex}"
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_path(PIECES), cache)
+
+
+def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rondel.llm.fingerprint import edit_robustness
+
+    return edit_robustness(table(spark, sf_dir, "documents"))
+
+
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rondel.llm.html_text import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rondel.llm.bpe import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), tokenizer_path(RANKS), split_pattern())
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rondel.llm.minhash import near_duplicates
 
-    return near_duplicates(_table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op10_minhash,)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_url_filter, op2_mixing, op3_pii_surrogates, op4_webp, op5_toxicity, op6_token_counts, op7_fingerprint, op8_html_text, op9_bpe, op10_minhash)
+}
 
 
 def queries() -> dict:
@@ -33,5 +110,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    """SQL of the queries that SQL can state on whole tables."""
+    """SQL of the queries that SQL can state on whole tables.
+
+    None: all ten are trained, hashed or encoded; their tests hold them against
+    brute force, library results, exact round trips or held-out accuracy.
+    """
     return {}

@@ -117,4 +117,4 @@ def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _SPACE
     cuts = np.flatnonzero(edge[: len(data)])
     starts = cuts[inside[cuts]]
     ends = np.append(cuts[1:], len(data))[inside[cuts]]
-    return starts, ends, np.searchsorted(offsets, starts, "right") - 1
+    return starts, ends, np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(starts, offsets)))
