@@ -51,7 +51,7 @@ _WORD = r"\p{Lu}[\p{L}'’-]+"
 # How each type looks. The first that fits a place counts.
 PATTERNS = {
     "email": r"[\p{L}\p{N}._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.)+[A-Za-z]{2,24}",
-    "secret": r"(?<![\p{L}\p{N}])(?:(?:sk|pk|ghp|xox[bp])[_-][A-Za-z0-9_-]{16,}|AKIA[A-Z0-9]{16}|(?=[a-f]*\d)(?=\d*[a-f])[0-9a-f]{32,128})(?![\p{L}\p{N}])",
+    "secret": r"(?<![\p{L}\p{N}])(?:(?:sk|pk|ghp|xox[bp])[_-][A-Za-z0-9_-]{16,}|AKIA[A-Z0-9]{16}|(?=[a-f]*\d)(?=\d*[a-f])[0-9a-f]{32,128}|(?=[A-F]*\d)(?=\d*[A-F])[0-9A-F]{32,128})(?![\p{L}\p{N}])",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
     "card": r"(?<![\d+.])\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7}(?![\d])",
@@ -117,7 +117,8 @@ def parts(match: Column) -> Column:
 
 def canonical(kind: Column, value: Column) -> Column:
     """What mentions of one entity have in common."""
-    return F.when(kind == "email", F.lower(value)).when(kind.isin("card", "iban", "phone"), F.regexp_replace(value, r"[ .()-]", "")).otherwise(value)
+    caseless = (kind == "email") | ((kind == "secret") & value.rlike("^[0-9A-F]+$"))
+    return F.when(caseless, F.lower(value)).when(kind.isin("card", "iban", "phone"), F.regexp_replace(value, r"[ .()-]", "")).otherwise(value)
 
 
 def _draw(seed: Column, i: Column, n: int) -> Column:
@@ -243,7 +244,7 @@ def _formatted(kind: Column, value: Column, drawn: Column) -> Column:
         lambda a, c: F.when(c.rlike(r"[ .()-]"), F.struct(F.concat(a["out"], c).alias("out"), a["at"].alias("at"))).otherwise(F.struct(F.concat(a["out"], F.substring(drawn, a["at"], F.lit(1))).alias("out"), (a["at"] + 1).alias("at"))),
         lambda a: a["out"],
     )
-    return F.when(kind == "email", cased).when(kind.isin("card", "iban", "phone"), spaced).otherwise(drawn)
+    return F.when(kind.isin("email", "secret"), cased).when(kind.isin("card", "iban", "phone"), spaced).otherwise(drawn)
 
 
 def pseudonymised(docs: DataFrame, key: str = "rondel") -> DataFrame:

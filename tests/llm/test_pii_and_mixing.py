@@ -35,6 +35,8 @@ def test_each_type_keeps_its_format(spark):
         assert rows[i].text != texts[i] and rows[i].n_entities >= 1
     assert [rows[i].text for i in (9, 10, 11)] == texts[9:12] and [rows[i].n_entities for i in (9, 10, 11)] == [0, 0, 0]
     assert luhn(re.search(r"4[\d ]{18}", rows[3].text)[0].replace(" ", "")) == 0
+    token = re.search("[0-9a-f]{40}", rows[4].text)[0]
+    assert replaced(spark, [texts[4], texts[4].upper()])[1].text == f'TOKEN = "{token.upper()}" END'
     account = re.search(r"DE[\d ]+", rows[5].text)[0].replace(" ", "").strip()
     assert int(account[4:] + "1314" + account[2:4]) % 97 == 1
     man, woman = re.match(r"Mr\. (\w+) \w+ met Mrs (\w+)", rows[7].text).groups()
