@@ -244,7 +244,8 @@ def _formatted(kind: Column, value: Column, drawn: Column) -> Column:
         lambda a, c: F.when(c.rlike(r"[ .()-]"), F.struct(F.concat(a["out"], c).alias("out"), a["at"].alias("at"))).otherwise(F.struct(F.concat(a["out"], F.substring(drawn, a["at"], F.lit(1))).alias("out"), (a["at"] + 1).alias("at"))),
         lambda a: a["out"],
     )
-    return F.when(kind.isin("email", "secret"), cased).when(kind.isin("card", "iban", "phone"), spaced).otherwise(drawn)
+    capital = (kind == "secret") & value.rlike("^[0-9A-F]+$")
+    return F.when(capital, F.upper(drawn)).when(kind == "email", cased).when(kind.isin("card", "iban", "phone"), spaced).otherwise(drawn)
 
 
 def pseudonymised(docs: DataFrame, key: str = "rondel") -> DataFrame:
