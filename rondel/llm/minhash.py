@@ -6,10 +6,11 @@
 2. ``sketches``: each text becomes a weighted set (tf x idf per shingle) and
    ``BANDS * ROWS`` consistent weighted samples. Equal texts share a digest and
    are one node from there on.
-3. Banding: nodes meet in a bucket (band, hash of its samples). Each bucket's
-   members are compared with its least node; what stays apart is compared with
-   the bucket's members of other classes (see ``near_duplicates``).
-4. Verification: exact weighted Jaccard similarity of the two texts.
+3. Banding: nodes meet in a bucket (band, hash of its samples).
+4. Verification: exact weighted Jaccard similarity of the two texts, first of each
+   bucket's members with its least node, which joins most groups; then, in buckets
+   that still hold several classes, of all members by blocks (``tile_links``). A
+   block pair's task returns only links that join classes, never its pairs.
 5. Connected components of the verified links give the classes.
 """
 
@@ -30,9 +31,8 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 12, 3
 #: Hashed features of the document-frequency table.
 FEATURES = 1 << 18
-#: In the second round, pairs whose samples agree in fewer places are left out;
-#: a pair at the threshold falls below with probability under 2e-5.
-LEAST_AGREE = 18
+#: Members and bytes of a block of a bucket; two blocks are compared in one task.
+BLOCK_ROWS, BLOCK_BYTES = 512, 4 << 20
 
 _CHUNK = 1024
 _LOW48 = np.uint64((1 << 48) - 1)
@@ -246,6 +246,93 @@ def weighted_jaccard(pairs: DataFrame, weights) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a binary, b binary, similarity double")
 
 
+def tile_links(members: DataFrame, weights) -> DataFrame:
+    """Links (a, b) that join classes, among ``members`` (bucket, node, label, text) of one bucket.
+
+    A bucket is dealt into blocks by a hash of the node, and each pair of blocks is
+    one group of rows: a large bucket is many tasks, each of bounded memory. Shared
+    weight is a product of matrices (row x shingle), where a shingle that a text has
+    n times counts as n columns, so that products give the least of both counts.
+    """
+    size = members.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK_ROWS, F.col("bytes") / BLOCK_BYTES)).cast("int")
+    dealt = members.join(size.select("bucket", blocks.alias("blocks")), "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label", "text")
+    tiles = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "block", "node")
+
+    def compare(batches):
+        table, held, key = weights.value, [], None
+        for batch in batches:
+            rows = pa.table(batch)
+            marks = np.stack([rows[c].to_numpy() for c in ("bucket", "i", "j")], 1)
+            cuts = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(1)) + 1).tolist(), len(marks)]
+            for begin, end in zip(cuts, cuts[1:]):
+                if begin == end:
+                    continue
+                if held and key != tuple(marks[begin]):
+                    yield linked(pa.concat_tables(held), table)
+                    held = []
+                key = tuple(marks[begin])
+                held.append(rows.slice(begin, end - begin))
+        if held:
+            yield linked(pa.concat_tables(held), table)
+
+    def linked(rows, table):
+        a, b = _tile(rows["text"], rows["block"].to_numpy(), rows["label"].to_pylist(), table)
+        nodes = rows["node"].combine_chunks()
+        return pa.RecordBatch.from_arrays([nodes.take(pa.array(a, pa.int64())), nodes.take(pa.array(b, pa.int64()))], names=["a", "b"])
+
+    return tiles.mapInArrow(compare, "a binary, b binary")
+
+
+def _tile(text, block: np.ndarray, labels: list, table: np.ndarray) -> tuple[list[int], list[int]]:
+    """Pairs of rows that join classes: rows of the tile's two blocks, or of its one."""
+    n, row, key, tf = len(block), [], [], []
+    for first, _, data, offsets in _blocks(text):
+        r, k, t, _ = shingle_keys(data, offsets)
+        row, key, tf = [*row, r + first], [*key, k], [*tf, t]
+    row, key, tf = map(np.concatenate, (row, key, tf))
+    weight = table[(key & np.uint64(FEATURES - 1)).astype(np.int64)]
+    whole = np.bincount(row, weight * tf, n)
+    level = np.arange(tf.sum()) - np.repeat(np.cumsum(tf) - tf, tf)
+    row, weight = np.repeat(row, tf), np.repeat(weight, tf)
+    column, count = np.unique(mix(np.repeat(key, tf) + (level.astype(np.uint64) << np.uint64(48))), return_inverse=True, return_counts=True)[1:]
+    # A column of one row shares nothing.
+    kept = count[column] > 1
+    row, weight = row[kept], np.sqrt(weight[kept])
+    column = np.unique(column[kept], return_inverse=True)[1]
+    split = int(np.searchsorted(block, block[-1])) if n else 0
+    left, right = (slice(0, split), slice(split, n)) if split else (slice(0, n), slice(0, n))
+    shared = np.zeros((left.stop - left.start, right.stop - right.start))
+    order = np.argsort(column, kind="stable")
+    row, column, weight = row[order], column[order], weight[order]
+    width = 2048
+    edges = np.searchsorted(column, np.arange(0, (column[-1] if len(column) else 0) + width + 1, width))
+    for a, b in zip(edges, edges[1:]):
+        part = np.zeros((n, width), np.float32)
+        part[row[a:b], column[a:b] % width] = weight[a:b]
+        shared += part[left] @ part[right].T
+    similarity = shared / np.maximum(whole[left, None] + whole[None, right] - shared, 1e-9)
+    # Sums of 32-bit products differ by a few millionths from exact ones.
+    x, y = np.nonzero(similarity >= SIMILARITY - 1e-6)
+    parent = {v: v for v in labels}
+
+    def find(v):
+        while parent[v] != v:
+            parent[v] = v = parent[parent[v]]
+        return v
+
+    out: tuple[list[int], list[int]] = ([], [])
+    for i, j in zip(x + left.start, y + right.start):
+        u, v = find(labels[i]), find(labels[j])
+        if u != v:
+            parent[max(u, v)] = min(u, v)
+            out[0].append(i)
+            out[1].append(j)
+    return out
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label): each linked node and the least node of its component.
 
@@ -296,18 +383,15 @@ def classes(docs: DataFrame) -> DataFrame:
     # First round: members of a bucket with its least node.
     links = verified(crowded.filter("node > a").select("a", F.col("node").alias("b")).distinct())
     labels = components(links)
-    # Second round: members of the buckets that still hold more than one class, with those of other classes.
-    told = crowded.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"), "a")
-    split = told.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("bucket")
-    # Pairs with the least node were tried in the first round.
-    rest = told.filter("node > a").join(split, "bucket", "left_semi")
-    rest = written(rest.join(nodes, "node"), "rest")
-    agree = sum((F.substring("x.samples", 4 * j + 1, 4) == F.substring("y.samples", 4 * j + 1, 4)).cast("int") for j in range(BANDS * ROWS))
-    x, y = rest.alias("x"), rest.alias("y")
-    more = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & (agree >= LEAST_AGREE))
-    more = written(more.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "pairs")
+    # Second round: all pairs of the buckets that still hold more than one class.
+    told = crowded.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+    sets = told.groupBy("bucket").agg(F.bit_xor(F.xxhash64("node")).alias("members"), F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+    # Of buckets with the same members one is enough.
+    split = sets.groupBy("members", "n").agg(F.min("bucket").alias("bucket")).select("bucket")
+    rest = written(told.join(split, "bucket", "left_semi").join(texts, "node"), "rest")
+    more = written(tile_links(rest, weights), "links")
     if more.limit(1).count():
-        labels = components(links.union(verified(more)))
+        labels = components(links.union(more))
     return rows.select("doc_id", "node").join(labels, "node", "left").select("doc_id", "node", F.coalesce("label", "node").alias("label"))
 
 

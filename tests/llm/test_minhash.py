@@ -94,6 +94,33 @@ def test_large_group_of_near_copies_is_one_class(spark):
     assert {r.class_id for r in minhash.near_duplicates(docs).collect()} == {0}
 
 
+@pytest.mark.parametrize("rows,size", [(512, 4 << 20), (7, 4 << 20), (512, 4000)])
+def test_tiles_find_the_links_of_all_pairs(spark, monkeypatch, rows, size):
+    """Members that a bucket's least node doesn't join, in one block or many."""
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", size)
+    rng = random.Random(3)
+    base, texts = [f"w{i}" for i in range(100)], []
+    for i in range(40):
+        words = list(base)
+        for _ in range(rng.randint(0, 6)):
+            words[rng.randrange(100)] = f"x{rng.randrange(60)}"
+        texts.append(" ".join(words + words[:7] * (i % 3)))
+    counts = np.ones(minhash.FEATURES)
+    weights = spark.sparkContext.broadcast(minhash.feature_weights(40, counts))
+    members = spark.createDataFrame([(1, bytes([i]), bytes([i]), t) for i, t in enumerate(texts)], "bucket bigint, node binary, label binary, text string")
+    found = minhash.components(minhash.tile_links(members, weights))
+    got = {bytes(r.node)[0]: bytes(r.label)[0] for r in found.collect()}
+    label = list(range(40))
+    for _ in range(40):
+        for i in range(40):
+            for j in range(40):
+                a, b = shingles(texts[i]), shingles(texts[j])
+                if sum((a & b).values()) / sum((a | b).values()) >= 0.8:
+                    label[i] = min(label[i], label[j])
+    assert [got.get(i, i) for i in range(40)] == label and len(set(label)) > 1
+
+
 @pytest.mark.parametrize("share", [0.5, 0.8, 0.95])
 def test_samples_agree_as_often_as_the_weighted_sets_do(share):
     rng = np.random.default_rng(3)
