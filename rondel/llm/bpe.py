@@ -16,15 +16,18 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from functools import cached_property
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 #: Entries of the tables that grow with the text; when full they start anew.
-WORDS_KEPT, STATES_KEPT = 400_000, 300_000
+WORDS_KEPT, STATES_KEPT, PAIRS_KEPT = 200_000, 60_000, 400_000
+#: Rows that a worker turns into Python objects at once.
+ROWS = 200
 
 
 def parse_ranks(raw: bytes) -> dict[bytes, int]:
@@ -40,7 +43,7 @@ class Merges:
         self.bytes = {rank: token for token, rank in ranks.items()}
         self._split: dict[int, tuple[int, int] | None] = {}
         self._spine: dict[tuple[int, int], list[tuple[bytes, float]]] = {}
-        self._known: dict[tuple[int, int], bool] = {}
+        self._known: dict[int, bool] = {}
 
     def merge(self, piece: bytes, below: float = float("inf")) -> list[bytes]:
         """Merge the leftmost pair of the least rank, again and again, as long as that rank is under ``below``."""
@@ -68,9 +71,12 @@ class Merges:
 
     def compatible(self, left: int, right: int) -> bool:
         """No merge joins bytes of both tokens when their bytes are encoded together."""
-        known = self._known.get((left, right))
+        pair = left << 32 | right
+        known = self._known.get(pair)
         if known is None:
-            known = self._known[left, right] = self._compatible(self.spine(left, 1), self.spine(right, 0))
+            if len(self._known) >= PAIRS_KEPT:
+                self._known.clear()
+            known = self._known[pair] = self._compatible(self.spine(left, 1), self.spine(right, 0))
         return known
 
     def _compatible(self, ends: list, begins: list) -> bool:
@@ -114,22 +120,27 @@ class Transducer:
 
     def _move(self, state: int, byte: int) -> tuple[int, tuple]:
         alive, boundary = [], None
+        children, tokens = self.children, self.token
         for last, node, held in self.states[state]:
-            node = self.children[node].get(byte)
+            node = children[node].get(byte)
             if node is None:
                 continue
-            if self.children[node]:
+            if children[node]:
                 alive.append((last, node, held))
-            token = self.token[node]
-            if boundary is None and token >= 0 and (last < 0 or self.merges.compatible(last, token)):
-                boundary = (token, 0, (*held, token))
+            if boundary is None:
+                token = tokens[node]
+                if token >= 0 and (last < 0 or self.merges.compatible(last, token)):
+                    boundary = (token, 0, (*held, token))
         alive.append(boundary)
+        # What the least and the largest output begin with, all do.
         outputs = [held for _, _, held in alive]
-        agreed = 0
-        while all(len(h) > agreed for h in outputs) and len({h[agreed] for h in outputs}) == 1:
+        least, largest, agreed = min(outputs), max(outputs), 0
+        for x, y in zip(least, largest):
+            if x != y:
+                break
             agreed += 1
-        emitted = outputs[0][:agreed]
-        reached = tuple((last, node, held[agreed:]) for last, node, held in alive)
+        emitted = least[:agreed]
+        reached = tuple([(last, node, held[agreed:]) for last, node, held in alive]) if agreed else tuple(alive)
         number = self.number.get(reached)
         if number is None:
             number = self.number[reached] = len(self.states)
@@ -225,20 +236,27 @@ class Codec:
     """Encodes and decodes whole texts with one rank file and one splitting pattern."""
 
     def __init__(self, raw: bytes, pattern: str):
-        merges = Merges(parse_ranks(raw))
-        self.ranks, self.tokens = merges.ranks, merges.bytes
+        self.merges = Merges(parse_ranks(raw))
+        self.ranks, self.tokens = self.merges.ranks, self.merges.bytes
         self.pieces = regex.compile(pattern).findall
-        self.transducer = Transducer(merges)
         self.decoder = Utf8Decoder(self.tokens)
+        # Two generations: what the younger lacks is looked for in the older.
         self._words: dict[str, tuple[int, ...]] = {}
+        self._older: dict[str, tuple[int, ...]] = {}
+
+    @cached_property
+    def transducer(self) -> Transducer:
+        return Transducer(self.merges)
 
     def _word(self, piece: str) -> tuple[int, ...]:
-        raw = piece.encode()
-        whole = self.ranks.get(raw)
-        ids = (whole,) if whole is not None else tuple(self.transducer.encode(raw))
-        if len(raw) <= 64:
+        ids = self._older.get(piece)
+        if ids is None:
+            raw = piece.encode()
+            whole = self.ranks.get(raw)
+            ids = (whole,) if whole is not None else tuple(self.transducer.encode(raw))
+        if len(piece) <= 64:
             if len(self._words) >= WORDS_KEPT:
-                self._words.clear()
+                self._words, self._older = {}, self._words
             self._words[piece] = ids
         return ids
 
@@ -276,8 +294,11 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     def encode(batches):
         own = codec(raw.value, pattern)
         for batch in batches:
-            ids = pa.array((own.encode(t or "") for t in batch.column(at).to_pylist()), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, "token_ids"])
+            for row in range(0, batch.num_rows, ROWS):
+                part = batch.slice(row, ROWS)
+                ids = [np.array(own.encode(t or ""), np.int32) for t in part.column(at).to_pylist()]
+                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(ends, np.concatenate(ids))], names=[*part.schema.names, "token_ids"])
 
     return docs.mapInArrow(encode, StructType([*docs.schema.fields, StructField("token_ids", ArrayType(IntegerType()))]))
 
@@ -294,8 +315,10 @@ def decoded(tokens: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     def decode(batches):
         own = codec(raw.value, pattern)
         for batch in batches:
-            text = pa.array((own.decode(ids or ()) for ids in batch.column(at).to_pylist()), pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, text], names=[*batch.schema.names, "decoded_text"])
+            for row in range(0, batch.num_rows, ROWS):
+                part = batch.slice(row, ROWS)
+                text = pa.array((own.decode(ids.values.to_numpy(zero_copy_only=False).tolist() if ids.is_valid else ()) for ids in part.column(at)), pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns, text], names=[*part.schema.names, "decoded_text"])
 
     return tokens.mapInArrow(decode, StructType([*tokens.schema.fields, StructField("decoded_text", StringType())]))
 
@@ -304,9 +327,24 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row of ``docs``.
 
     Null texts count as empty: no tokens, digests of nothing. Repeated rows give
-    repeated results; an empty table gives none; other columns are ignored.
+    repeated results; an empty table gives none; other columns are ignored. One pass
+    encodes and decodes, so no ids travel.
     """
-    tokens = encoded(docs.select("doc_id", "text"), ranks_path, pattern).select("doc_id", "token_ids")
-    text = decoded(tokens, ranks_path, pattern)
-    joined = F.array_join(F.col("token_ids"), ",")
-    return text.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded_text", 256).alias("decoded_sha256"))
+    with open(ranks_path, "rb") as f:
+        raw = docs.sparkSession.sparkContext.broadcast(f.read())
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def both(batches):
+        own = codec(raw.value, pattern)
+        for batch in batches:
+            for row in range(0, batch.num_rows, ROWS):
+                part = batch.slice(row, ROWS)
+                counts, digests, backs = [], [], []
+                for text in part.column(1).to_pylist():
+                    ids = own.encode(text or "")
+                    counts.append(len(ids))
+                    digests.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+                    backs.append(hashlib.sha256(own.decode(ids).encode()).hexdigest())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(backs, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return docs.select("doc_id", "text").mapInArrow(both, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

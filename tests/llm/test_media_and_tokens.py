@@ -133,6 +133,9 @@ def test_bpe_query_rows(spark, own):
         assert rows[i].n_tokens == len(ids)
         assert rows[i].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert rows[i].decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
+    tokens = bpe.encoded(docs, tokenizer_path(RANKS), split_pattern())
+    back = bpe.decoded(tokens, tokenizer_path(RANKS), split_pattern())
+    assert {r.doc_id: (r.token_ids, r.decoded_text) for r in back.collect()} == {i: (own.encode(t or ""), t or "") for i, t in enumerate(TEXTS)}
     assert bpe.round_trip(docs.limit(0), tokenizer_path(RANKS), split_pattern()).count() == 0
 
 
