@@ -61,7 +61,8 @@ PATTERNS = {
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text that this doesn't find holds no entity; it is cheaper to look for.
-_HINT = rf"[0-9]|@|(?<![\p{{L}}])(?:{'|'.join([*_ALL_TITLES, *_ALL_GIVEN])})[. ]"
+#: Names are tried at capitals only.
+_HINT = rf"[0-9@]|(?=\p{{Lu}})(?<!\p{{L}})(?:{'|'.join([*_ALL_TITLES, *_ALL_GIVEN])})[. ]"
 
 
 def matches(text: Column) -> Column:
