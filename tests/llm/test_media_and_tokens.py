@@ -107,6 +107,15 @@ def test_bpe_equals_the_library(own, library, text):
     assert own.decode(ids) == text
 
 
+def test_bpe_ascii_pattern(own):
+    rng = random.Random(1)
+    for _ in range(300):
+        piece = "".join(chr(rng.randrange(128)) for _ in range(60))
+        assert own._split(piece) == own._split_ascii(piece)
+    assert bpe.ascii_pattern(r"\p{L}{1,3}|[^\p{N}\]]+|\[x") == r"[A-Za-z]{1,3}|[^0-9\]]+|\[x"
+    assert bpe.ascii_pattern(r"\p{Lu}+") is None
+
+
 def test_bpe_of_long_and_odd_texts(own, library):
     rng = random.Random(2)
     texts = [t or "" for t in TEXTS] + ["".join(rng.choices("aeinorst", k=3000)), "".join(rng.choices("abAB019 .éß日", k=3000)), "0" * 500, "=" * 999, "\n" * 300]
