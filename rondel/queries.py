@@ -656,6 +656,18 @@ def kernel_two_hop_friends(spark, sf):
     return kernels.two_hop_friends(edges)
 
 
+def _customer_links(spark, sf, factor, shift):
+    """An edge from each customer to another, over the whole table."""
+    customers = table(spark, sf, "customer").select(F.col("c_custkey").alias("a"))
+    n = customers.agg((F.max("a") + 1).alias("n"))
+    return customers.crossJoin(F.broadcast(n)).select("a", ((F.col("a") * factor + shift) % F.col("n")).alias("b"))
+
+
+@query()
+def kernel_two_hop_friends_whole(spark, sf):
+    return kernels.two_hop_friends(_customer_links(spark, sf, 7, 3))
+
+
 @kernel(", p AS (SELECT a.case_id, a.i AS i, b.i AS j FROM series a JOIN series b ON a.case_id = b.case_id AND a.x + b.x = 50 AND a.i < b.i), r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY i, j) AS k FROM p) SELECT case_id, i, j FROM r WHERE k = 1")
 def kernel_two_sum(spark, sf):
     return kernels.two_sum(_series(spark, sf), F.lit(50))
@@ -717,3 +729,10 @@ def kernel_components(spark, sf):
     edges = table(spark, sf, "customer").filter("c_custkey < 300 and c_custkey % 3 = 0").select(F.col("c_custkey").alias("a"), ((F.col("c_custkey") * 5 + 2) % 300).alias("b"))
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     return kernels.connected_components(edges, nodes)
+
+
+@query()
+def kernel_components_whole(spark, sf):
+    edges = _customer_links(spark, sf, 5, 2)
+    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    return kernels.connected_components(edges, nodes)
