@@ -51,7 +51,7 @@ _WORD = r"\p{Lu}[\p{L}'’-]+"
 # How each type looks. The first that fits a place counts.
 PATTERNS = {
     "email": r"[\p{L}\p{N}._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.)+[A-Za-z]{2,24}",
-    "secret": r"(?<![\p{L}\p{N}])(?:(?:sk|pk|ghp|xox[bp])[_-][A-Za-z0-9_-]{16,}|AKIA[A-Z0-9]{16}|(?=[a-f]*\d)(?=\d*[a-f])[0-9a-f]{32,128}|(?=[A-F]*\d)(?=\d*[A-F])[0-9A-F]{32,128})(?![\p{L}\p{N}])",
+    "secret": r"(?<![\p{L}\p{N}])(?:(?:sk|pk|ghp|xox[bp])[_-](?=[_-]*[A-Za-z0-9])[A-Za-z0-9_-]{16,}|AKIA[A-Z0-9]{16}|(?=[a-f]*\d)(?=\d*[a-f])[0-9a-f]{32,128}|(?=[A-F]*\d)(?=\d*[A-F])[0-9A-F]{32,128})(?![\p{L}\p{N}])",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
     "card": r"(?<![\d+.])\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7}(?![\d])",
@@ -62,7 +62,7 @@ PATTERNS = {
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text that this doesn't find holds no entity; it is cheaper to look for.
 #: Names are tried at capitals only.
-_HINT = rf"[0-9@]|(?=\p{{Lu}})(?<!\p{{L}})(?:{'|'.join([*_ALL_TITLES, *_ALL_GIVEN])})[. ]"
+_HINT = rf"[0-9@]|(?:sk|pk|ghp|xox[bp])[_-][A-Za-z0-9_-]{{16}}|AKIA[A-Z0-9]{{16}}|(?=\p{{Lu}})(?<!\p{{L}})(?:{'|'.join([*_ALL_TITLES, *_ALL_GIVEN])})[. ]"
 
 
 def matches(text: Column) -> Column:
