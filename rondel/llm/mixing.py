@@ -9,11 +9,14 @@
    x_d * tokens_d * posterior_d,k, meet target_k: projected gradient descent on
    sum_k (total_k - target_k)**2 / (2 N_k), N_k being the total at rates of 1.
    Each step sums K numbers over all documents; the gradient is taken in the
-   metric of the documents' tokens, in which steps under 2 are stable.
+   metric of the documents' tokens, in which steps under 2 are stable. What is
+   left of the way to the targets is told with the rates.
 """
 
 from __future__ import annotations
 
+import math
+import warnings
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -25,7 +28,10 @@ LOW = "low"
 #: Share of the tokens that each domain is to have; the domains are the keys.
 TARGETS = {"en": 0.54, "de": 0.15, "fr": 0.15, "es": 0.10, LOW: 0.06}
 STEP, STEPS, PRECISION = 1.5, 60, 1e-3
-MAX_RATE = 8.0
+#: Rates have no upper bound, so that the rarest domain can reach its target.
+MAX_RATE = math.inf
+#: From ``STEPS`` on, steps go on while each ``STRIDE`` of them take this share off the loss.
+GAIN, STRIDE = 0.1, 6
 
 # Frequent function words, and characters, that tell languages and junk apart.
 FUNCTION_WORDS = {"en": ("the", "of", "and", "that"), "de": ("der", "die", "und", "von"), "fr": ("de", "le", "la", "les"), "es": ("el", "que", "los", "no")}
@@ -71,8 +77,6 @@ def train(rows: DataFrame, labels: DataFrame, domains: list[str]) -> dict[str, t
 
 def posteriors(model: dict, domains: list[str]) -> list[Column]:
     """Chance of each domain, from f0, f1, ...; without a model all are equal. Log likelihoods are tempered by the number of features."""
-    import math
-
     if not model:
         return [F.lit(1.0 / len(domains)) for _ in domains]
     temper = 2 / math.sqrt(N_FEATURES)
@@ -86,12 +90,16 @@ def posteriors(model: dict, domains: list[str]) -> list[Column]:
 
 
 def fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, keep: bool = False) -> DataFrame:
-    """(row_key, doc_id, n_tokens, domain, posterior array<double>, rate) of each distinct (doc_id, text).
+    """(row_key, doc_id, n_tokens, domain, posterior array<double>, rate, residual array<double>) of each distinct (doc_id, text).
 
     targets: domain -> share of the tokens. The budget is the corpus's tokens. With
     ``keep`` it is the least with which no domain but ``LOW`` has to shrink. Rates
-    lie in [0, ``MAX_RATE``]. A target for a domain that no document is likely to be
-    of can't be met and is left out. Texts without words have 0 tokens and keep rate 1.
+    are 0 or more. A target for a domain that no document is likely to be of can't
+    be met and is left out. Texts without words have 0 tokens and keep rate 1.
+
+    residual: by sorted domain, expected total less target at the returned rates, as
+    a share of the target (null for a target of 0); the same in every row. If one
+    isn't met within ``PRECISION``, a warning tells it too.
     """
     targets = targets or TARGETS
     domains = sorted(targets)
@@ -120,19 +128,26 @@ def fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None
     kept_domains = [k for k in live if domains[k] != LOW and share[k] > 0]
     budget = max([natural[k] / share[k] for k in kept_domains], default=sum(natural)) if keep else sum(natural)
     goal = [share[k] * budget for k in ks]
-    for step in range(1, STEPS + 1):
+    step, losses = 0, []
+    while True:
         now = totals(state)
-        if all(abs(now[k] - goal[k]) <= PRECISION * max(goal[k], natural[k]) for k in live):
+        met = all(abs(now[k] - goal[k]) <= PRECISION * max(goal[k], natural[k]) for k in live)
+        losses.append(sum((now[k] - goal[k]) ** 2 / natural[k] for k in live))
+        if met or step >= STEPS and losses[-1] > (1 - GAIN) * losses[-1 - STRIDE]:
             break
+        step += 1
         pull = reduce(lambda a, b: a + b, [F.lit((now[k] - goal[k]) / natural[k]) * F.col(f"p{k}") for k in live], F.lit(0.0))
-        moved = F.greatest(F.lit(0.0), F.least(F.lit(MAX_RATE), F.col("rate") - STEP * pull))
+        moved = F.greatest(F.lit(0.0), F.col("rate") - STEP * pull)
         state = state.withColumn("rate", F.when(F.col("n_tokens") > 0, moved).otherwise(F.col("rate")))
         if step % 6 == 0:
             state = written(state, "rates")
+    residual = [(now[k] - goal[k]) / goal[k] if goal[k] else None for k in ks]
+    if live and (not met or len(live) < len([k for k in ks if goal[k]])):
+        warnings.warn(f"targets not met after {step} steps; by domain, total over target less 1: {dict(zip(domains, residual))}", stacklevel=2)
     state = written(state, "rates")
     shares = F.array(*[f"p{k}" for k in ks])
     likeliest = F.element_at(F.array(*map(F.lit, domains)), F.array_position(shares, F.array_max(shares)).cast("int"))
-    return state.select("row_key", "doc_id", "n_tokens", likeliest.alias("domain"), shares.alias("posterior"), "rate")
+    return state.select("row_key", "doc_id", "n_tokens", likeliest.alias("domain"), shares.alias("posterior"), "rate", F.array(*[F.lit(r).cast("double") for r in residual]).alias("residual"))
 
 
 def row_key(doc_id: str, text: str) -> Column:
@@ -141,9 +156,9 @@ def row_key(doc_id: str, text: str) -> Column:
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """(doc_id, n_tokens, domain, posterior, rate) of each distinct row of ``docs``.
+    """(doc_id, n_tokens, domain, posterior, rate, residual) of each distinct row of ``docs``.
 
-    posterior is in the order of the sorted domains. Rows with equal doc_id and text
+    posterior and residual are in the order of the sorted domains. Rows with equal doc_id and text
     are one; null texts are empty; an empty table gives no rows; other columns but
     lang are ignored.
     """
