@@ -90,7 +90,9 @@ def posteriors(model: dict, domains: list[str]) -> list[Column]:
 
 
 def fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, keep: bool = False) -> DataFrame:
-    """(row_key, doc_id, n_tokens, domain, posterior array<double>, rate, residual array<double>) of each distinct (doc_id, text).
+    """(row_key, doc_id, n_tokens, n_rows, domain, posterior array<double>, rate, residual array<double>) of each distinct (doc_id, text).
+
+    n_rows: rows that are equal; each of them counts in the totals and has the rate.
 
     targets: domain -> share of the tokens. The budget is the corpus's tokens. With
     ``keep`` it is the least with which no domain but ``LOW`` has to shrink. Rates
@@ -115,10 +117,12 @@ def fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None
     else:
         shares = [p.alias(f"p{k}") for k, p in enumerate(found)]
     ks = range(len(domains))
-    state = written(rows.select("row_key", "doc_id", "n_tokens", *shares).dropDuplicates(["row_key"]).withColumn("rate", F.lit(1.0)), "rates")
+    once = [F.first(c).alias(c) for c in ("doc_id", "n_tokens", *(f"p{k}" for k in ks))]
+    state = rows.select("row_key", "doc_id", "n_tokens", *shares).groupBy("row_key").agg(*once, F.count("*").alias("n_rows"))
+    state = written(state.withColumn("rate", F.lit(1.0)), "rates")
 
     def totals(frame: DataFrame) -> list[float]:
-        got = frame.agg(*[F.sum(F.col("rate") * F.col("n_tokens") * F.col(f"p{k}")).alias(f"t{k}") for k in ks]).first()
+        got = frame.agg(*[F.sum(F.col("rate") * F.col("n_rows") * F.col("n_tokens") * F.col(f"p{k}")).alias(f"t{k}") for k in ks]).first()
         return [got[k] or 0.0 for k in ks]
 
     natural = totals(state)
@@ -147,7 +151,7 @@ def fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None
     state = written(state, "rates")
     shares = F.array(*[f"p{k}" for k in ks])
     likeliest = F.element_at(F.array(*map(F.lit, domains)), F.array_position(shares, F.array_max(shares)).cast("int"))
-    return state.select("row_key", "doc_id", "n_tokens", likeliest.alias("domain"), shares.alias("posterior"), "rate", F.array(*[F.lit(r).cast("double") for r in residual]).alias("residual"))
+    return state.select("row_key", "doc_id", "n_tokens", "n_rows", likeliest.alias("domain"), shares.alias("posterior"), "rate", F.array(*[F.lit(r).cast("double") for r in residual]).alias("residual"))
 
 
 def row_key(doc_id: str, text: str) -> Column:
@@ -156,10 +160,10 @@ def row_key(doc_id: str, text: str) -> Column:
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """(doc_id, n_tokens, domain, posterior, rate, residual) of each distinct row of ``docs``.
+    """(doc_id, n_tokens, n_rows, domain, posterior, rate, residual) of each distinct row of ``docs``.
 
     posterior and residual are in the order of the sorted domains. Rows with equal doc_id and text
-    are one; null texts are empty; an empty table gives no rows; other columns but
+    are one, of n_rows; null texts are empty; an empty table gives no rows; other columns but
     lang are ignored.
     """
     return fitted(docs, labels, targets).drop("row_key").withColumn("n_tokens", F.col("n_tokens").cast("long"))
