@@ -34,7 +34,8 @@ def wilson(successes: Column, n: Column, clamp: bool = True) -> tuple[Column, Co
     centre = (p + Z * Z / (2 * n)) / scale
     half = Z * F.sqrt(p * (1 - p) / n + Z * Z / (4 * n * n)) / scale
     low, high = centre - half, centre + half
-    return (F.greatest(F.lit(0.0), low), F.least(F.lit(1.0), high)) if clamp else (low, high)
+    # greatest and least skip nulls, so the clamp asks for n again.
+    return (F.when(n.isNotNull(), F.greatest(F.lit(0.0), low)), F.when(n.isNotNull(), F.least(F.lit(1.0), high))) if clamp else (low, high)
 
 
 def threshold_key(x: Column) -> Column:
@@ -42,11 +43,19 @@ def threshold_key(x: Column) -> Column:
 
 
 def usage_cost(prompt: Column, cached: Column, completion: Column, rates: tuple[float, float, float]) -> Column:
-    """Cost by prices per million tokens (fresh, cached, completion); unknown counts, or more cached than all, make it null."""
+    """Cost by prices per million tokens (fresh, cached, completion).
+
+    Prompt and completion counts that are unknown, negative or not finite make it
+    null; cached tokens count up to the prompt's.
+    """
     fresh, old, out = rates
-    known = prompt.isNotNull() & completion.isNotNull() & (F.coalesce(cached, F.lit(0)) <= prompt)
-    held = F.coalesce(cached, F.lit(0))
-    return F.when(known, ((prompt - held) * fresh + held * old + completion * out) / 1e6)
+
+    def counted(x: Column) -> Column:
+        x = x.cast("double")
+        return F.coalesce((x >= 0) & (x < float("inf")) & ~F.isnan(x), F.lit(False))
+
+    held = F.least(F.coalesce(cached, F.lit(0)), prompt)
+    return F.when(counted(prompt) & counted(completion), ((prompt - held) * fresh + held * old + completion * out) / 1e6)
 
 
 def maximum_cost(bound: Column, limit: Column, completion: Column, rates: tuple[float, float, float]) -> Column:

@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 # The tokens of C-like languages; what matches none of them is skipped.
+# Literals are matched by possessive loops, which take no stack however long they are.
 C_TOKENS = (
-    r'"(?:\\.|[^"\\])*"'
-    r"|'(?:\\.|[^'\\])*'"
+    r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+    r"|'[^'\\]*+(?:\\.[^'\\]*+)*+'"
     r"|[A-Za-z_][A-Za-z0-9_]*"
     r"|0[xX][0-9A-Fa-f]+[A-Za-z0-9_]*"
     r"|\d+(?:\.\d+)?(?:[eE][+-]?\d+)?[A-Za-z0-9_]*"
@@ -22,9 +23,9 @@ C_TOKENS = (
     r"|[#{}\[\]();,.:?~<>+\-*/%=!&|^\\]"
 )
 #: A quoted literal (kept), or a comment (dropped). Both may be unterminated.
-QUOTE_OR_COMMENT = r"""("(?s:\\.|[^"\\])*(?:"|\z)|'(?s:\\.|[^'\\])*(?:'|\z))|//[^\n]*|(/\*)(?s:.*?)(?:\*/|\z)"""
+QUOTE_OR_COMMENT = r"""("[^"\\]*+(?:\\(?s:.)[^"\\]*+)*+(?:"|\z)|'[^'\\]*+(?:\\(?s:.)[^'\\]*+)*+(?:'|\z))|//[^\n]*+|/\*(?s:.*?)(?:\*/|\z)"""
 #: A fenced block: opening line with an optional language, body, closing fence.
-FENCE = r"(?s)```[^\n`]*\n(.*?)```"
+FENCE = r"(?s)```[^\n]*+\n(.*?)```"
 
 
 def strip_comments(source: Column) -> Column:
@@ -62,14 +63,19 @@ def byte_delta(a: Column, b: Column) -> Column:
     return F.octet_length(b) - F.octet_length(a)
 
 
+def stripped(text: Column) -> Column:
+    """Without white space at both ends."""
+    return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
+
+
 def canonical_output(out: Column) -> Column:
     """Output stripped at both ends, and each line at its right end."""
-    return F.regexp_replace(F.regexp_replace(unix_lines(out), r"(?m)[ \t\f\x0B]+$", ""), r"^\s+|\s+\z", "")
+    return stripped(F.regexp_replace(unix_lines(out), r"(?m)(?<![ \t\f\x0B])[ \t\f\x0B]++$", ""))
 
 
 def words(text: Column) -> Column:
     """White-space separated words; none of blank text."""
-    trimmed = F.regexp_replace(text, r"^\s+|\s+\z", "")
+    trimmed = stripped(text)
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"\s+"))
 
 
@@ -96,43 +102,39 @@ def extracted_code(response: Column) -> Column:
 
 
 # How lines of code begin, or what they hold.
-CODE_PREFIXES = ("#include", "using ", "int ", "void ", "return", "class ", "struct ", "template", "for ", "for(", "while", "if ", "if(", "public ", "import ", "def ", "}", "{")
-CODE_MARKS = (";", "{", "}", "->", "::", "==", "()", "<<", ">>")
+CODE_PREFIXES = (
+    "#include", "import ", "from ", "def ", "class ", "public ", "private ", "protected ", "int ", "long ", "double ", "float ", "for ", "while ", "if ", "else", "return",
+)
+CODE_MARKS = (";", "{", "}", "(", ")", "=", "->", "::")
+_LINE_END = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
 
 
 def is_code_line(line: Column) -> Column:
     """A line that begins or is marked like code."""
-    trimmed = F.trim(line)
-    begins = [trimmed.startswith(p) for p in CODE_PREFIXES]
-    holds = [trimmed.contains(m) for m in CODE_MARKS]
+    trimmed = stripped(line)
     out = F.lit(False)
-    for test in begins + holds:
+    for test in [trimmed.startswith(p) for p in CODE_PREFIXES] + [trimmed.contains(m) for m in CODE_MARKS]:
         out = out | test
     return out
 
 
 def longest_code_span(response: Column) -> Column:
-    """struct(status, code) of text without a fence: its longest run of code lines, at least 2; blank lines inside don't end a run.
+    """struct(status, code) of text without a fence.
 
-    Two longest runs of one length are ambiguous.
+    Runs of code lines that only blank lines part are one; of several, the longest
+    counts, which needs two lines and no other run of its length.
     """
-    lines = F.split(response, "\n")
-    state = "struct<runs:array<struct<n:int,code:string>>,n:int,code:string>"
-    start = F.struct(F.array().cast("array<struct<n:int,code:string>>").alias("runs"), F.lit(0).alias("n"), F.lit("").alias("code")).cast(state)
-
-    def step(a: Column, line: Column) -> Column:
-        blank, code = F.trim(line) == "", is_code_line(line)
-        closed = F.when(a["n"] > 0, F.concat(a["runs"], F.array(F.struct(a["n"].alias("n"), a["code"].alias("code"))))).otherwise(a["runs"])
-        grown = F.struct(a["runs"].alias("runs"), (a["n"] + 1).alias("n"), F.when(a["n"] == 0, line).otherwise(F.concat(a["code"], F.lit("\n"), line)).alias("code"))
-        kept = F.struct(a["runs"].alias("runs"), a["n"].alias("n"), F.when(a["n"] == 0, a["code"]).otherwise(F.concat(a["code"], F.lit("\n"), line)).alias("code"))
-        ended = F.struct(closed.alias("runs"), F.lit(0).alias("n"), F.lit("").alias("code"))
-        return F.when(blank, kept).when(code, grown).otherwise(ended).cast(state)
-
-    runs = F.aggregate(lines, start, step, lambda a: F.when(a["n"] > 0, F.concat(a["runs"], F.array(F.struct(a["n"].alias("n"), a["code"].alias("code"))))).otherwise(a["runs"]))
-    most = F.array_max(F.transform(runs, lambda r: r["n"]))
-    best = F.filter(runs, lambda r: r["n"] == most)
-    status = F.when(F.coalesce(most, F.lit(0)) < 2, "no_code").when(F.size(best) > 1, "ambiguous").otherwise("ok")
-    return F.struct(status.alias("status"), F.when(status == "ok", F.regexp_replace(best[0]["code"], r"\s+\z", "")).alias("code"))
+    lines = F.split(stripped(response), _LINE_END)
+    # One letter for each line: code, blank or other.
+    kinds = F.array_join(F.transform(lines, lambda x: F.when(is_code_line(x), "c").when(stripped(x) == "", "b").otherwise("o")), "")
+    core = F.btrim(kinds, F.lit("bo"))
+    runs = F.transform(F.split(core, "[bo]+"), F.length)
+    most = F.array_max(runs)
+    together = ~core.contains("o")
+    status = F.when(core == "", "no_code").when(together, "ok").when(most < 2, "no_code").when(F.size(F.filter(runs, lambda n: n == most)) > 1, "ambiguous").otherwise("ok")
+    first = F.when(together, F.instr(kinds, "c")).otherwise(F.position(F.repeat(F.lit("c"), most), kinds))
+    code = F.array_join(F.slice(lines, first, F.when(together, F.length(core)).otherwise(most)), "\n")
+    return F.struct(status.alias("status"), F.when(status == "ok", code).alias("code"))
 
 
 def _shared(a: Column, b: Column) -> Column:

@@ -34,10 +34,16 @@ def first_reach(steps: DataFrame, thresholds: list[float]) -> DataFrame:
     return found.select("trial", "problem", "route", rows.alias("o")).select("trial", "problem", "route", "o.threshold", "o.reached_step")
 
 
-def state_growth(steps: DataFrame) -> DataFrame:
-    """first_seen_step, duplicate and state_count (the seed's state counts as one) of each step."""
+def state_growth(steps: DataFrame, seed: str = "cpp") -> DataFrame:
+    """first_seen_step, duplicate and state_count of each step.
+
+    The seed's state counts as one, seen at step 0; where ``seed_state`` tells it, a
+    step that returns to it is a duplicate.
+    """
     same = Window.partitionBy("trial", "language", "state")
     first = F.min("step").over(same)
+    if "seed_state" in steps.columns:
+        first = F.when((F.col("language") == seed) & F.col("state").eqNullSafe(F.col("seed_state")), 0).otherwise(first)
     marked = steps.withColumn("first_seen_step", first).withColumn("duplicate", F.col("step") != first)
     return marked.withColumn("state_count", 1 + F.sum((~F.col("duplicate")).cast("int")).over(_so_far()))
 

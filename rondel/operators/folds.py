@@ -14,9 +14,16 @@ from rondel.functions.stats import ABORTING, fps_category, threshold_key
 STEP = ["step", "restored", "status", "similarity", "language", "state"]
 
 
-def collected(steps: DataFrame) -> DataFrame:
-    """One row for each chain with its steps in order."""
-    return steps.groupBy("trial").agg(F.first("problem").alias("problem"), F.first("route").alias("route"), F.array_sort(F.collect_list(F.struct(*STEP))).alias("steps"))
+def collected(steps: DataFrame, most: int | None = None) -> DataFrame:
+    """One row for each chain with its steps in order, and seed_state, the seed's own (null where unknown).
+
+    ``most``: the last step at which the protocol can still decide anything; the
+    steps after it change no outcome and aren't gathered.
+    """
+    if most is not None:
+        steps = steps.filter(F.col("step") <= most)
+    seed = F.first("seed_state") if "seed_state" in steps.columns else F.lit(None).cast("string")
+    return steps.groupBy("trial").agg(F.first("problem").alias("problem"), F.first("route").alias("route"), seed.alias("seed_state"), F.array_sort(F.collect_list(F.struct(*STEP))).alias("steps"))
 
 
 def _with(a: Column, fields: dict[str, str], **changes: Column) -> Column:
@@ -76,18 +83,19 @@ def hops(chains: DataFrame, thresholds: list[float], primary: float, max_hops: i
     return done.select("trial", "problem", "route", F.col("end.confirmation").alias("confirmation"), F.col("end.terminal").alias("terminal"), F.col("end.n").alias("n_steps"), out.alias("outcomes"))
 
 
-def fps(chains: DataFrame, thresholds: list[float], max_states: int = 10, max_steps: int = 20) -> DataFrame:
+def fps(chains: DataFrame, thresholds: list[float], max_states: int = 10, max_steps: int = 20, seed: str = "cpp") -> DataFrame:
     """Unique-state distance: (trial, problem, route, terminal, states_at_stop, outcomes).
 
     outcomes: array of (threshold, category, d_n, reached_step, reached_roundtrip).
     In each step: a failure ends; then too many states end, before similarity is
     looked at; an unmeasured similarity is skipped; the largest threshold reached
-    ends; then the step budget.
+    ends; then the step budget. The first state is the seed's: its language ``seed``
+    and ``seed_state``, so a step that returns to it is no new state.
     """
     thresholds = sorted(thresholds)
     fields = {"ended": "boolean", "n": "int", "trips": "int", "terminal": "string", "seen": "array<string>", "measured": "int"}
     fields |= {f"{x}{i}": "int" for i in range(len(thresholds)) for x in ("d", "r", "t")}
-    begin = {"boolean": F.lit(False), "string": F.lit(None), "int": F.lit(None), "array<string>": F.array(F.lit("cpp:"))}
+    begin = {"boolean": F.lit(False), "string": F.lit(None), "int": F.lit(None), "array<string>": F.array(F.concat_ws(":", F.lit(seed), F.col("seed_state")))}
     zero = F.struct(*[(F.lit(0) if n in ("n", "trips", "measured") else begin[t]).cast(t).alias(n) for n, t in fields.items()])
 
     def step(a: Column, s: Column) -> Column:

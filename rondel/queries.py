@@ -167,7 +167,7 @@ def first_reach_thresholds(spark, sf):
 
 
 @query(
-    f"""WITH {STEPS_SQL}, f AS (SELECT *, min(step) OVER (PARTITION BY trial, language, state) AS first FROM steps), g AS (SELECT route, step, step <> first AS duplicate, 1 + sum(CASE WHEN step = first THEN 1 ELSE 0 END) OVER (PARTITION BY trial ORDER BY step) AS n FROM f)
+    f"""WITH {STEPS_SQL}, f AS (SELECT *, CASE WHEN language = 'cpp' AND state = seed_state THEN 0 ELSE min(step) OVER (PARTITION BY trial, language, state) END AS first FROM steps), g AS (SELECT route, step, step <> first AS duplicate, 1 + sum(CASE WHEN step = first THEN 1 ELSE 0 END) OVER (PARTITION BY trial ORDER BY step) AS n FROM f)
     SELECT route, step, count(*) FILTER (duplicate) AS duplicates, round(avg(n), 6) AS mean_states, max(n) AS most FROM g GROUP BY ALL"""
 )
 def unique_state_growth(spark, sf):
@@ -273,7 +273,7 @@ told AS (SELECT w.*, d.due, s.similarity AS due_similarity, CASE WHEN d.due IS N
     FROM hop_reach h JOIN told t USING (trial) GROUP BY ALL"""
 )
 def hops_state_fold(spark, sf):
-    out = folds.hops(folds.collected(step_view(spark, sf)), THRESHOLDS, 0.80)
+    out = folds.hops(folds.collected(step_view(spark, sf), 12), THRESHOLDS, 0.80)
     return out.select("route", "confirmation", F.explode("outcomes").alias("o")).groupBy("route", "o.threshold", "o.category", "o.reached_step", "confirmation").agg(F.count("*").alias("n"))
 
 
@@ -283,15 +283,15 @@ def hops_state_fold(spark, sf):
     SELECT *, round(passed / nullif(passed + failed, 0), 6) AS retention, round(unavailable / nullif(successes, 0), 6) AS unavailable_share FROM c"""
 )
 def confirmation_retention(spark, sf):
-    out = folds.hops(folds.collected(step_view(spark, sf)), THRESHOLDS, 0.80)
+    out = folds.hops(folds.collected(step_view(spark, sf), 12), THRESHOLDS, 0.80)
     rows = out.select("route", "confirmation", F.explode("outcomes").alias("o")).filter("o.threshold = '0.80'")
     return outcomes.retention(rows.select("route", "confirmation", "o.category"), "route")
 
 
-_FPS = """seen AS (SELECT *, min(step) OVER (PARTITION BY trial, language, state) AS first FROM steps),
+_FPS = """seen AS (SELECT *, CASE WHEN language = 'cpp' AND state = seed_state THEN 0 ELSE min(step) OVER (PARTITION BY trial, language, state) END AS first FROM steps),
 sized AS (SELECT *, 1 + sum(CASE WHEN step = first THEN 1 ELSE 0 END) OVER (PARTITION BY trial ORDER BY step) AS size, count(*) FILTER (restored AND functional) OVER (PARTITION BY trial ORDER BY step) AS trips FROM seen),
 stops AS (SELECT trial, min(problem) AS problem, min(route) AS route, max(step) AS n, min(step) FILTER (NOT functional) AS f, min(step) FILTER (size > 4) AS g, min(step) FILTER (restored AND similarity >= 0.9) AS m FROM sized GROUP BY trial),
-ends AS (SELECT *, least(coalesce(f, 99), coalesce(g, 99), coalesce(m, 99), 8) AS stop FROM stops),
+ends AS (SELECT *, least(coalesce(f, 8), coalesce(g, 8), coalesce(m, 8), 8) AS stop FROM stops),
 ended AS (SELECT *, CASE WHEN f = stop THEN 'wrong_answer' WHEN g = stop THEN 'max_distance_reached' WHEN m = stop THEN 'collection_complete' WHEN n >= 8 THEN 'translation_budget_reached' END AS terminal FROM ends),
 measured AS (SELECT e.trial, count(s.step) FILTER (s.restored AND s.step <= e.stop AND (e.f IS NULL OR s.step < e.f) AND (e.g IS NULL OR s.step < e.g)) AS k FROM ended e JOIN sized s USING (trial) GROUP BY e.trial)"""
 _FPS_OUT = " UNION ALL ".join(
@@ -305,7 +305,7 @@ _FPS_ROWS = f"""out_ AS ({_FPS_OUT}), rows_ AS (SELECT o.trial, o.problem, o.rou
 
 
 def _fps(spark, sf):
-    out = folds.fps(folds.collected(step_view(spark, sf)), THRESHOLDS, max_states=4, max_steps=8)
+    out = folds.fps(folds.collected(step_view(spark, sf), 8), THRESHOLDS, max_states=4, max_steps=8)
     return out.select("trial", "problem", "route", F.explode("outcomes").alias("o")).select("trial", "problem", "route", "o.*")
 
 
@@ -327,12 +327,12 @@ def dplus(spark, sf):
     SELECT route, CASE WHEN r IS NOT NULL THEN 'success' WHEN f IS NOT NULL THEN 'functional_failure' WHEN n >= 8 THEN CASE WHEN k > 0 THEN 'budget' ELSE 'invalid' END ELSE 'incomplete' END AS category, r AS reached_step, count(*) AS n FROM w GROUP BY ALL"""
 )
 def threshold_policy(spark, sf):
-    return folds.threshold_policy(folds.collected(step_view(spark, sf)), 0.8, 8).groupBy("route", "category", "reached_step").agg(F.count("*").alias("n"))
+    return folds.threshold_policy(folds.collected(step_view(spark, sf), 8), 0.8, 8).groupBy("route", "category", "reached_step").agg(F.count("*").alias("n"))
 
 
 @query()
 def fixed_point_policy(spark, sf):
-    return folds.fixed_point_policy(folds.collected(step_view(spark, sf)), 1, 12).groupBy("route", "status", "category", "reached_step").agg(F.count("*").alias("n"))
+    return folds.fixed_point_policy(folds.collected(step_view(spark, sf), 12), 1, 12).groupBy("route", "status", "category", "reached_step").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {STEPS_SQL}, {_OK}, reach AS ({_REACH}), k AS (SELECT route, threshold, CASE WHEN reached_step IS NOT NULL THEN 'success' WHEN trial % 9 = 0 THEN 'invalid' ELSE 'hop_limit' END AS category FROM reach) SELECT threshold, route, grouping(threshold) * 2 + grouping(route) AS level, count(*) AS slots, count(*) FILTER (category <> 'invalid') AS valid, bool_and(category <> 'invalid') AS complete, count(*) FILTER (category = 'success') AS successes FROM k GROUP BY ROLLUP (threshold, route)")
@@ -430,7 +430,11 @@ def _q(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
-_TOKENS = f"regexp_extract_all(regexp_replace(text, {_q(text.QUOTE_OR_COMMENT)}, '\\1 ', 'g'), {_q(text.C_TOKENS)})"
+# The literals in the plain form, for an engine that needs no possessive loops.
+_QUOTED = r"""("(?s:\\.|[^"\\])*(?:"|\z)|'(?s:\\.|[^'\\])*(?:'|\z))|//[^\n]*|(/\*)(?s:.*?)(?:\*/|\z)"""
+_LITERALS = r"""\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|"""
+_C_TOKENS = _LITERALS.replace('\\"', '"') + text.C_TOKENS[text.C_TOKENS.index("[A-Za-z_]") :]
+_TOKENS = f"regexp_extract_all(regexp_replace(text, {_q(_QUOTED)}, '\\1 ', 'g'), {_q(_C_TOKENS)})"
 
 
 @query(f"SELECT doc_id, len({_TOKENS}) AS n_tokens, sha256(array_to_string({_TOKENS}, chr(0))) AS token_sha256 FROM documents")
@@ -601,7 +605,7 @@ def latency_summary(spark, sf):
     return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.percentile("value", 0.5), 6).alias("median"), F.max("value").alias("largest"), F.round(seconds(F.max) - seconds(F.min), 0).alias("elapsed"))
 
 
-@query("SELECT event_id, CASE WHEN k >= 20 THEN round(((k - 20) * 0.5 + 20 * 0.1 + 7 * 2.0) / 1e6, 9) END AS cost FROM (SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)")
+@query("SELECT event_id, CASE WHEN k >= 0 THEN round(((k - least(20, k)) * 0.5 + least(20, k) * 0.1 + 7 * 2.0) / 1e6, 9) END AS cost FROM (SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)")
 def usage_cost(spark, sf):
     k = F.get_json_object("props", "$.k").cast("long")
     return table(spark, sf, "events").select("event_id", F.round(stats.usage_cost(k, F.lit(20), F.lit(7), (0.5, 0.1, 2.0)), 9).alias("cost"))
@@ -650,12 +654,6 @@ def kernel_rope_load(spark, sf):
     return kernels.rope_load(_series(spark, sf))
 
 
-@query("WITH e AS (SELECT c_custkey AS a, (c_custkey * 7 + 3) % 500 AS b FROM customer WHERE c_custkey < 500), s AS (SELECT DISTINCT a, b FROM (SELECT a, b FROM e UNION ALL SELECT b, a FROM e) WHERE a <> b), f AS (SELECT a, b FROM s UNION SELECT x.a, y.b FROM s x JOIN s y ON x.b = y.a WHERE x.a <> y.b) SELECT a, count(*) AS n FROM f GROUP BY a")
-def kernel_two_hop_friends(spark, sf):
-    edges = table(spark, sf, "customer").filter("c_custkey < 500").select(F.col("c_custkey").alias("a"), ((F.col("c_custkey") * 7 + 3) % 500).alias("b"))
-    return kernels.two_hop_friends(edges)
-
-
 def _customer_links(spark, sf, factor, shift):
     """An edge from each customer to another, over the whole table."""
     customers = table(spark, sf, "customer").select(F.col("c_custkey").alias("a"))
@@ -663,7 +661,10 @@ def _customer_links(spark, sf, factor, shift):
     return customers.crossJoin(F.broadcast(n)).select("a", ((F.col("a") * factor + shift) % F.col("n")).alias("b"))
 
 
-@query()
+_LINKS = "e AS (SELECT c_custkey AS a, (c_custkey * {factor} + {shift}) % (SELECT max(c_custkey) + 1 FROM customer) AS b FROM customer)"
+
+
+@query(f"WITH {_LINKS.format(factor=7, shift=3)}, s AS (SELECT DISTINCT a, b FROM (SELECT a, b FROM e UNION ALL SELECT b, a FROM e) WHERE a <> b), f AS (SELECT a, b FROM s UNION SELECT x.a, y.b FROM s x JOIN s y ON x.b = y.a WHERE x.a <> y.b) SELECT a, count(*) AS n FROM f GROUP BY a")
 def kernel_two_hop_friends_whole(spark, sf):
     return kernels.two_hop_friends(_customer_links(spark, sf, 7, 3))
 
@@ -724,14 +725,14 @@ def kernel_queens(spark, sf):
     return kernels.queens(spark, 8)
 
 
-@query("WITH RECURSIVE e AS (SELECT c_custkey AS a, (c_custkey * 5 + 2) % 300 AS b FROM customer WHERE c_custkey < 300 AND c_custkey % 3 = 0), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), n AS (SELECT a AS node FROM s UNION SELECT b FROM s), r AS (SELECT node, node AS seen FROM n UNION SELECT r.node, s.b FROM r JOIN s ON s.a = r.seen) SELECT node, min(seen) AS label FROM r GROUP BY node")
-def kernel_components(spark, sf):
-    edges = table(spark, sf, "customer").filter("c_custkey < 300 and c_custkey % 3 = 0").select(F.col("c_custkey").alias("a"), ((F.col("c_custkey") * 5 + 2) % 300).alias("b"))
-    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    return kernels.connected_components(edges, nodes)
+# Every node has one link onwards, so following links ends on a cycle; jumps of 2, 4, 8, ... links carry the least node passed.
+_JUMPS = 26
+_CYCLES = "j0 AS (SELECT n.x, coalesce(e.b, n.x) AS t, least(n.x, coalesce(e.b, n.x)) AS m FROM (SELECT a AS x FROM e UNION SELECT b FROM e) n LEFT JOIN e ON e.a = n.x), " + ", ".join(
+    f"j{k} AS MATERIALIZED (SELECT p.x, q.t, least(p.m, q.m) AS m FROM j{k - 1} p JOIN j{k - 1} q ON q.x = p.t)" for k in range(1, _JUMPS + 1)
+)
 
 
-@query()
+@query(f"WITH {_LINKS.format(factor=5, shift=2)}, {_CYCLES}, c AS (SELECT p.x, q.m AS cycle FROM j{_JUMPS} p JOIN j{_JUMPS} q ON q.x = p.t) SELECT x AS node, min(x) OVER (PARTITION BY cycle) AS label FROM c")
 def kernel_components_whole(spark, sf):
     edges = _customer_links(spark, sf, 5, 2)
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()

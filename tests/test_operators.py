@@ -79,6 +79,20 @@ def test_unfenced_code(spark, response, status, code):
     assert (got.status, got.code) == (status, code)
 
 
+def test_unfenced_code_of_one_line_and_by_marks(spark):
+    for response, want in (("x = f(1)", "x = f(1)"), ("look:\nelse\nyes\na = 1;\nb = 2;\nbye", "a = 1;\nb = 2;"), ("a = 1;\r\n\r\nb = 2;", "a = 1;\n\nb = 2;")):
+        got = value(one(spark, r=response), text.longest_code_span(F.col("r")))
+        assert (got.status, got.code) == ("ok", want)
+
+
+@pytest.mark.parametrize("source", ['"' + "a" * 1_000_000 + '"', "'" + "a" * 1_000_000, "it's " + "word " * 200_000 + "isn't", '"' + "\\n" * 500_000 + '"', "/*" + "*" * 1_000_000 + "*/ x", "```\n" + "y\n" * 300_000 + "```", " " * 300_000 + "z"], ids=range(7))
+def test_very_long_literals_take_no_stack(spark, source):
+    row = one(spark, s=source)
+    assert value(row, F.size(text.c_tokens(F.col("s")))) >= 0
+    assert value(row, F.length(text.canonical_output(F.col("s")))) >= 0
+    assert value(row, text.extracted_code(F.col("s"))).status in ("ok", "empty")
+
+
 def test_canonical_output_and_words(spark):
     row = one(spark, a=" 1 2 \r\n3\t\n\n", b="1 2\n3", c="1\n2\n3")
     assert value(row, text.canonical_output(F.col("a"))) == "1 2\n3"
@@ -99,7 +113,10 @@ def test_wilson_costs_and_maps(spark):
     assert low == pytest.approx(0, abs=1e-12) and 0 < high < 0.06
     assert value(row, stats.wilson(F.col("hits"), F.col("none"))[0]) is None
     assert value(one(spark, p=100), stats.usage_cost(F.col("p"), F.lit(40), F.lit(10), (1.0, 0.5, 2.0))) == pytest.approx(100e-6)
-    assert value(one(spark, p=10), stats.usage_cost(F.col("p"), F.lit(40), F.lit(10), (1.0, 0.5, 2.0))) is None
+    # Cached tokens count up to the prompt's; counts that can't be are unknown.
+    assert value(one(spark, p=10), stats.usage_cost(F.col("p"), F.lit(40), F.lit(10), (1.0, 0.5, 2.0))) == pytest.approx(25e-6)
+    assert value(one(spark, p=-1), stats.usage_cost(F.col("p"), F.lit(0), F.lit(10), (1.0, 0.5, 2.0))) is None
+    assert value(one(spark, p=float("nan")), stats.usage_cost(F.col("p"), F.lit(0), F.lit(10), (1.0, 0.5, 2.0))) is None
     assert value(row, stats.threshold_key(F.lit(0.8))) == "0.80"
     assert value(one(spark, s="parse_error"), stats.paper_category(F.col("s"), F.lit(False))) == "format_error"
     assert value(one(spark, s="parse_error"), stats.report_infrastructure(F.col("s")))
@@ -155,6 +172,15 @@ def test_fps_order_of_checks(spark):
     assert (row.terminal, row.states_at_stop, out["0.90"]) == ("collection_complete", 3, ("success", 3))
 
 
+def test_a_return_to_the_seed_is_no_new_state(spark):
+    steps = chain(spark, [(OK, 0.1, "b"), (OK, 0.1, "seed"), (OK, 0.1, "b"), (OK, 0.95, "a")])
+    known = steps.withColumn("seed_state", F.lit("seed")).withColumn("language", F.when(F.col("state") == "seed", "cpp").otherwise(F.col("language")))
+    assert folds.fps(folds.collected(steps), [0.9]).first().states_at_stop == 4
+    assert folds.fps(folds.collected(known), [0.9]).first().states_at_stop == 3
+    assert [r.state_count for r in chains.state_growth(known).orderBy("step").collect()] == [2, 2, 2, 3]
+    assert folds.fps(folds.collected(known), [0.9], max_states=2).first().terminal == "max_distance_reached"
+
+
 def test_fixed_point_policy(spark):
     steps = lambda *h: [(OK, 1.0, x) for s in h for x in ("_", s)]
     rows = folds.fixed_point_policy(folds.collected(chain(spark, steps("a", "b", "b", "b"), steps("a", "b", "b", "c"), steps("a", "b", "a", "b"), steps("a"), [("infrastructure_error", None, "x")])), 1, 12).collect()
