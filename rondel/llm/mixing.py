@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import warnings
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -30,6 +31,8 @@ TARGETS = {"en": 0.54, "de": 0.15, "fr": 0.15, "es": 0.10, LOW: 0.06}
 STEP, STEPS, PRECISION = 1.5, 60, 1e-3
 #: Rates have no upper bound, so that the rarest domain can reach its target.
 MAX_RATE = math.inf
+#: Posterior of ``LOW`` from which a row may vanish.
+CLEAR = 0.9
 #: From ``STEPS`` on, steps go on while each ``STRIDE`` of them take this share off the loss.
 GAIN, STRIDE = 0.1, 6
 
@@ -38,25 +41,32 @@ FUNCTION_WORDS = {"en": ("the", "of", "and", "that"), "de": ("der", "die", "und"
 CHARACTERS = {"german": "äöüßÄÖÜ", "french": "éèêàùçîÉÈÊÇ", "spanish": "ñóíáúÑÓÍÁ", "capital": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "mark": "#$%&*|<>{}[]=\\^~_+@!", "digit": "0123456789", "stop": ".,;:", "line": "\n"}
 
 
-def tokens(text: Column) -> Column:
-    """Words of a text."""
-    trimmed = F.trim(F.regexp_replace(text, r"\s+", " "))
-    return F.when(trimmed == "", 0).otherwise(F.length(trimmed) - F.length(F.replace(trimmed, F.lit(" "), F.lit(""))) + 1)
+#: Share of the words that a text has of a language's function words, and of the characters of a class, are told by these.
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
-def features(text: Column) -> list[Column]:
-    """Shares in [0, 1], on a logarithmic scale, and the mean word's length."""
-    n = F.greatest(F.length(text), F.lit(1))
+def _among(words: tuple[str, ...]):
+    return lambda w: w.isin(list(words))
 
-    def of_characters(letters: str) -> Column:
-        return (F.length(text) - F.length(F.translate(text, letters, ""))) / n
 
-    def of_words(words: tuple[str, ...]) -> Column:
-        return sum((F.length(text) - F.length(F.replace(text, F.lit(f" {w} "), F.lit("")))) for w in words) / n
+def with_features(rows: DataFrame) -> DataFrame:
+    """``rows`` (with text, not null) with n_tokens (words) and f0, f1, ...: shares on a logarithmic scale, and the mean word's length.
 
-    spaces = F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
-    shares = [of_characters(c) for c in CHARACTERS.values()] + [of_words(w) for w in FUNCTION_WORDS.values()]
-    return [F.log(x + 0.002) for x in shares] + [F.log(n / (spaces + 1))]
+    Each text is split into words once, and its lower-case letters and spaces are
+    dropped once; function words are counted among the few words that are any, and
+    character classes in what is left, where each class is one letter.
+    """
+    every = [w for words in FUNCTION_WORDS.values() for w in words]
+    classes = "".join(CHARACTERS.values())
+    letters = "".join(_LETTERS[i] * len(c) for i, c in enumerate(CHARACTERS.values()))
+    rows = rows.withColumn("__words", F.split("text", r"\s+")).withColumn("__known", F.filter("__words", lambda w: w.isin(["", *every])))
+    rows = rows.withColumn("__size", F.size("__words")).withColumn("__rest", F.translate(F.regexp_replace("text", "[a-z ]+", ""), classes, letters))
+    empty = F.size(F.filter("__known", lambda w: w == ""))
+    n, words = F.greatest(F.length("text"), F.lit(1)), F.col("__size") - empty
+    shares = [(F.length("__rest") - F.length(F.replace("__rest", F.lit(_LETTERS[i]), F.lit("")))) / n for i in range(len(CHARACTERS))]
+    shares += [F.size(F.filter("__known", _among(own))) / F.greatest(words, F.lit(1)) for own in FUNCTION_WORDS.values()]
+    features = [F.log(x + 0.002) for x in shares] + [F.log(n / (words + 1))]
+    return rows.select("*", words.cast("double").alias("n_tokens"), *[f.alias(f"f{i}") for i, f in enumerate(features)]).drop("__words", "__known", "__size", "__rest")
 
 
 N_FEATURES = len(CHARACTERS) + len(FUNCTION_WORDS) + 1
@@ -89,36 +99,42 @@ def posteriors(model: dict, domains: list[str]) -> list[Column]:
     return [parts, F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)]
 
 
-def fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, keep: bool = False) -> DataFrame:
-    """(row_key, doc_id, n_tokens, n_rows, domain, posterior array<double>, rate, residual array<double>) of each distinct (doc_id, text).
+@dataclass(frozen=True)
+class Fit:
+    """What rates follow from: the classifier, and the pull on each domain in each step of the descent."""
 
-    n_rows: rows that are equal; each of them counts in the totals and has the rate.
+    domains: list[str]
+    model: dict
+    pulls: list[list[float]]
+    residual: list[float | None]
 
-    targets: domain -> share of the tokens. The budget is the corpus's tokens. With
-    ``keep`` it is the least with which no domain but ``LOW`` has to shrink. Rates
-    are 0 or more. A target for a domain that no document is likely to be of can't
-    be met and is left out. Texts without words have 0 tokens and keep rate 1.
 
-    residual: by sorted domain, expected total less target at the returned rates, as
-    a share of the target (null for a target of 0); the same in every row. If one
-    isn't met within ``PRECISION``, a warning tells it too.
-    """
-    targets = targets or TARGETS
-    domains = sorted(targets)
+def _base(docs: DataFrame) -> DataFrame:
+    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang")
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang"), text.alias("text"))
-    rows = rows.select(row_key("doc_id", "text").alias("row_key"), "doc_id", "lang", tokens(F.col("text")).cast("double").alias("n_tokens"), *[f.alias(f"f{i}") for i, f in enumerate(features(F.col("text")))])
-    rows = written(rows, "features")
-    model = train(rows, labels, domains)
+    return with_features(docs.select("doc_id", lang, text.alias("text"))).withColumn("row_key", row_key("doc_id", "text")).drop("text")
+
+
+def _with_posteriors(rows: DataFrame, model: dict, domains: list[str]) -> DataFrame:
+    """``rows`` with p0, p1, ... in place of the features."""
     found = posteriors(model, domains)
     if model:
         rows = rows.withColumn("__parts", found[0]).withColumn("__sum", found[1])
         shares = [(F.col("__parts")[k] / F.col("__sum")).alias(f"p{k}") for k in range(len(domains))]
     else:
         shares = [p.alias(f"p{k}") for k, p in enumerate(found)]
+    return rows.select("*", *shares).drop("__parts", "__sum", *[f"f{i}" for i in range(N_FEATURES)])
+
+
+def _descend(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None, keep: bool) -> tuple[Fit, DataFrame]:
+    """The fit, and (row_key, doc_id, n_tokens, p0, p1, ..., n_rows, rate) of each distinct row."""
+    targets = targets or TARGETS
+    domains = sorted(targets)
+    rows = written(_base(docs), "features")
+    model = train(rows, labels, domains)
     ks = range(len(domains))
     once = [F.first(c).alias(c) for c in ("doc_id", "n_tokens", *(f"p{k}" for k in ks))]
-    state = rows.select("row_key", "doc_id", "n_tokens", *shares).groupBy("row_key").agg(*once, F.count("*").alias("n_rows"))
+    state = _with_posteriors(rows, model, domains).groupBy("row_key").agg(*once, F.count("*").alias("n_rows"))
     state = written(state.withColumn("rate", F.lit(1.0)), "rates")
 
     def totals(frame: DataFrame) -> list[float]:
@@ -132,26 +148,52 @@ def fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None
     kept_domains = [k for k in live if domains[k] != LOW and share[k] > 0]
     budget = max([natural[k] / share[k] for k in kept_domains], default=sum(natural)) if keep else sum(natural)
     goal = [share[k] * budget for k in ks]
-    step, losses = 0, []
+    pulls, losses = [], []
     while True:
         now = totals(state)
         met = all(abs(now[k] - goal[k]) <= PRECISION * max(goal[k], natural[k]) for k in live)
         losses.append(sum((now[k] - goal[k]) ** 2 / natural[k] for k in live))
-        if met or step >= STEPS and losses[-1] > (1 - GAIN) * losses[-1 - STRIDE]:
+        if met or len(pulls) >= STEPS and losses[-1] > (1 - GAIN) * losses[-1 - STRIDE]:
             break
-        step += 1
-        pull = reduce(lambda a, b: a + b, [F.lit((now[k] - goal[k]) / natural[k]) * F.col(f"p{k}") for k in live], F.lit(0.0))
-        moved = F.greatest(F.lit(0.0), F.col("rate") - STEP * pull)
-        state = state.withColumn("rate", F.when(F.col("n_tokens") > 0, moved).otherwise(F.col("rate")))
-        if step % 6 == 0:
+        pulls.append([STEP * (now[k] - goal[k]) / natural[k] if k in live else 0.0 for k in ks])
+        pull = reduce(lambda a, b: a + b, [F.lit(pulls[-1][k]) * F.col(f"p{k}") for k in ks])
+        state = state.withColumn("rate", F.when(F.col("n_tokens") > 0, F.greatest(F.lit(0.0), F.col("rate") - pull)).otherwise(F.col("rate")))
+        if len(pulls) % STRIDE == 0:
             state = written(state, "rates")
     residual = [(now[k] - goal[k]) / goal[k] if goal[k] else None for k in ks]
     if live and (not met or len(live) < len([k for k in ks if goal[k]])):
-        warnings.warn(f"targets not met after {step} steps; by domain, total over target less 1: {dict(zip(domains, residual))}", stacklevel=2)
-    state = written(state, "rates")
-    shares = F.array(*[f"p{k}" for k in ks])
-    likeliest = F.element_at(F.array(*map(F.lit, domains)), F.array_position(shares, F.array_max(shares)).cast("int"))
-    return state.select("row_key", "doc_id", "n_tokens", "n_rows", likeliest.alias("domain"), shares.alias("posterior"), "rate", F.array(*[F.lit(r).cast("double") for r in residual]).alias("residual"))
+        warnings.warn(f"targets not met after {len(pulls)} steps; by domain, total over target less 1: {dict(zip(domains, residual))}", stacklevel=3)
+    return Fit(domains, model, pulls, residual), written(state, "rates")
+
+
+def fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, keep: bool = False) -> DataFrame:
+    """(row_key, doc_id, n_tokens, n_rows, domain, posterior array<double>, rate, residual array<double>) of each distinct (doc_id, text).
+
+    n_rows: rows that are equal; each of them counts in the totals and has the rate.
+
+    targets: domain -> share of the tokens. The budget is the corpus's tokens. With
+    ``keep`` it is the least with which no domain but ``LOW`` has to shrink. Rates
+    are 0 or more. A target for a domain that no document is likely to be of can't
+    be met and is left out. Texts without words have 0 tokens and keep rate 1.
+
+    residual: by sorted domain, expected total less target at the returned rates, as
+    a share of the target (null for a target of 0); the same in every row. If one
+    isn't met within ``PRECISION``, a warning tells it too.
+    """
+    fit, state = _descend(docs, labels, targets, keep)
+    shares = F.array(*[f"p{k}" for k in range(len(fit.domains))])
+    likeliest = F.element_at(F.array(*map(F.lit, fit.domains)), F.array_position(shares, F.array_max(shares)).cast("int"))
+    return state.select("row_key", "doc_id", "n_tokens", "n_rows", likeliest.alias("domain"), shares.alias("posterior"), "rate", F.array(*[F.lit(r).cast("double") for r in fit.residual]).alias("residual"))
+
+
+def _rate(fit: Fit) -> Column:
+    """The rate of a row with n_tokens and p0, p1, ...: the steps of the descent, taken again."""
+    own = F.array(*[F.col(f"p{k}") for k in range(len(fit.domains))])
+    if not fit.pulls:
+        return F.lit(1.0)
+    pulls = F.array(*[F.array(*map(F.lit, p)) for p in fit.pulls])
+    dot = lambda pull: reduce(lambda a, b: a + b, [pull[k] * own[k] for k in range(len(fit.domains))])
+    return F.when(F.col("n_tokens") > 0, F.aggregate(pulls, F.lit(1.0), lambda x, pull: F.greatest(F.lit(0.0), x - dot(pull)))).otherwise(1.0)
 
 
 def row_key(doc_id: str, text: str) -> Column:
@@ -173,12 +215,23 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     """The rows of ``docs``, each as often as its rate says, with all their columns.
 
     A row of rate x comes floor(x) times, and once more with chance x - floor(x), by
-    a hash of the row. Rows likelier of another domain than ``LOW`` stay at least once.
+    a hash of the row. Rows stay at least once unless their posterior of ``LOW`` is
+    ``CLEAR`` or more. Rates follow from a row's own text and the steps of the
+    descent, so the texts are neither joined nor shuffled.
+
+    Null texts are empty; an empty table gives no rows; equal rows come equally often.
     """
-    rates = fitted(docs, labels, targets, keep=True)
-    chance = F.pmod(F.xxhash64("row_key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    copies = F.floor(F.col("rate") + chance).cast("int")
-    copies = F.when(F.col("domain") == LOW, copies).otherwise(F.greatest(copies, F.lit(1)))
-    told = rates.select(F.col("row_key").alias("__key"), copies.alias("__copies")).filter("__copies > 0")
-    keyed = docs.withColumn("__key", row_key("doc_id", "text"))
-    return keyed.join(told, "__key").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    fit, _ = _descend(docs, labels, targets, keep=True)
+    own = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("__row")
+    lang = ["lang"] if "lang" in docs.columns else []
+    rows = docs.select(own, "doc_id", *lang, F.coalesce("text", F.lit("")).alias("text"))
+    rows = with_features(rows).withColumn("__key", row_key("doc_id", "text")).select("__row", "__key", "n_tokens", *[f"f{i}" for i in range(N_FEATURES)])
+    rows = _with_posteriors(rows, fit.model, fit.domains).withColumn("__rate", _rate(fit))
+    chance = F.pmod(F.xxhash64("__key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    copies = F.floor(F.col("__rate") + chance).cast("int")
+    if LOW in fit.domains:
+        copies = F.when(F.col(f"p{fit.domains.index(LOW)}") >= CLEAR, copies).otherwise(F.greatest(copies, F.lit(1)))
+    else:
+        copies = F.greatest(copies, F.lit(1))
+    told = rows.select("__row", copies.alias("__copies")).filter("__copies > 0")
+    return told.select("__row", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col("__row")[f"c{i}"].alias(c) for i, c in enumerate(docs.columns)])
