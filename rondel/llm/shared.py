@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that array operations handle at once; bounds a task's memory.
 SLICE_BYTES = 1 << 20
@@ -22,11 +23,15 @@ SLICE_BYTES = 1 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the one the cluster names in ``spark.checkpoint.dir``. Only where that
-    is unset (tests, one machine) a temporary folder is used.
+    It is the one the cluster names in ``spark.checkpoint.dir``. Where that is unset
+    a temporary folder serves a local master (tests); on a cluster it is an error, as
+    executors don't see each other's folders.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="rondel-")
         spark.sparkContext.setCheckpointDir(path)
         spark.conf.set("spark.checkpoint.dir", path)
@@ -45,6 +50,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Parts that ``spread_join`` deals the rows of one key into.
+SALTS = 32
+
+
+def spread_join(rows: DataFrame, few: DataFrame, keys: list[str], salt_by: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``few``, which has one row for each key at most, without one task for a key of very many rows.
+
+    Rows are dealt into ``SALTS`` parts by a hash of ``salt_by``; the row of ``few`` goes to the
+    parts of its key that there are. how: inner or left.
+    """
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*salt_by), F.lit(SALTS)))
+    slots = salted.select(*keys, "__salt").distinct().join(few, keys)
+    return salted.join(slots, [*keys, "__salt"], how).drop("__salt")
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; nulls have no bytes."""
     if isinstance(column, pa.ChunkedArray):
