@@ -7,6 +7,8 @@ documents is tokenised and hashed by a few array operations.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -50,6 +52,35 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a batch that Spark hands to a worker; a longer row is a batch of its own.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches are cut by bytes: ten thousand rows of long texts would be too much for a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def lean(work):
+    """``work`` (batches -> batches), after which the worker gives its free memory back.
+
+    Workers outlive their tasks; what they keep is missing to the stages that follow.
+    """
+
+    @functools.wraps(work)
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return run
+
+
 #: Parts that ``spread_join`` deals the rows of one key into.
 SALTS = 32
 

@@ -7,26 +7,31 @@ Terms are the words of the lower-cased text and their beginnings of
 words of the text that give the term).
 
 The machine is fitted on the driver on a bounded sample of labelled rows
-(``SAMPLE``); scoring covers all rows and whole texts and needs no shuffle.
+(``SAMPLE``); scoring covers all rows and whole texts and needs no shuffle, and of
+each row only the text goes to a worker.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rondel.llm.shared import slices, span_hashes, words
-
-#: Labelled rows that the machine is fitted on, at most; picked by a hash of doc_id.
-SAMPLE = 8000
-#: Hashed terms; terms kept by the fit, at most, by chi-square; factors of a term.
-BUCKETS, TERMS, FACTORS = 1 << 20, 4096, 8
-#: Chi-square from which a term is kept.
-LEAST_CHI = 12.0
+from rondel.llm.shared import lean, slices, small_batches, span_hashes, words
+
+#: Labelled rows that the machine is fitted on, at most, and bytes of their terms; picked by a hash of doc_id.
+SAMPLE, SAMPLE_BYTES = 8000, 256 << 20
+#: Hashed terms; factors of a term.
+BUCKETS, FACTORS = 1 << 20, 8
+#: A term gets a weight and factors if it tells by itself (chi-square), or in some pair: by how
+#: far the pair's label share is from what both terms' shares add up to (chi-square, for millions of pairs).
+LEAST_CHI, LEAST_PAIR_CHI = 12.0, 40.0
+#: Share of the labelled rows in which a term of a pair occurs, at least; rarer pairs can't be told from chance.
+PAIR_SHARE = 0.01
 BEGINNINGS = (5, 6, 7, 8, 9)
 #: A score from which a document is rejected.
 REJECT = 0.7
@@ -64,6 +69,7 @@ def _counted(row: np.ndarray, term: np.ndarray, size: int) -> tuple[np.ndarray,
     return key // size, key % size, 1 + np.log(n)
 
 
+@lean
 def _terms(batches):
     """(doc_id, toxic, packed hashed terms and their x) of each labelled row."""
     for batch in batches:
@@ -84,9 +90,14 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine:
     wanted = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropna().filter(~held_out("doc_id")).dropDuplicates(["doc_id"])
     wanted = wanted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     text = F.lower(F.coalesce("text", F.lit(""))).alias("text")
-    joined = docs.select("doc_id", text).join(F.broadcast(wanted), "doc_id").select("doc_id", "toxic", "text")
+    small_batches(docs.sparkSession)
+    joined = docs.select("doc_id", text).join(F.broadcast(wanted), "doc_id")
+    # Of rows that share an id one text teaches, so that there are no more rows than labels.
+    joined = joined.groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("text").alias("text")).select("doc_id", "toxic", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = sorted(joined.mapInArrow(_terms, f"doc_id {kind}, toxic int, terms binary").collect(), key=lambda r: (r.doc_id, bytes(r.terms)))
+    terms = joined.mapInArrow(_terms, f"doc_id {kind}, toxic int, terms binary")
+    so_far = F.sum(F.octet_length("terms")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    rows = sorted(terms.withColumn("so_far", so_far).filter(F.col("so_far") <= SAMPLE_BYTES).drop("so_far").collect(), key=lambda r: (r.doc_id, bytes(r.terms)))
     return fit([unpacked(bytes(r.terms)) for r in rows], np.array([r.toxic for r in rows], np.float64))
 
 
@@ -95,6 +106,38 @@ def unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(raw[:half], np.int32), np.frombuffer(raw[half:], np.float32)
 
 
+def _paired(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, df: np.ndarray, hit: np.ndarray, share: float, alone: np.ndarray, block: int = 1024) -> np.ndarray:
+    """Terms that tell in a pair what neither tells alone; counts of pairs are products of blocks of the row x term matrix."""
+    n = len(y)
+    terms = np.flatnonzero((df >= max(3, PAIR_SHARE * n)) & (df <= (1 - PAIR_SHARE) * n) & ~alone)
+    place = np.full(BUCKETS, -1, np.int32)
+    place[terms] = np.arange(len(terms))
+    row = np.repeat(np.arange(n), [len(t) for t, _ in rows])
+    at = place[np.concatenate([t for t, _ in rows])]
+    row, at = row[at >= 0], at[at >= 0]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+
+    def matrix(first: int) -> np.ndarray:
+        a, b = np.searchsorted(at, [first, first + block])
+        out = np.zeros((n, min(block, len(terms) - first)), np.float32)
+        out[row[a:b], at[a:b] - first] = 1
+        return out
+
+    rate, told = hit[terms] / np.maximum(df[terms], 1), np.zeros(len(terms), bool)
+    for i in range(0, len(terms), block):
+        left = matrix(i)
+        toxic = left * y[:, None].astype(np.float32)
+        for j in range(i, len(terms), block):
+            right = left if i == j else matrix(j)
+            both, hits = left.T @ right, toxic.T @ right
+            added = np.clip(rate[i : i + block, None] + rate[None, j : j + block] - share, 0.5 * share, 1 - 0.5 * (1 - share))
+            found = (hits - both * added) ** 2 >= LEAST_PAIR_CHI * np.maximum(both * added * (1 - added), 1.0)
+            told[i : i + block] |= found.any(1)
+            told[j : j + block] |= found.any(0)
+    return terms[told]
+
+
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 25, batch: int = 64, rate: float = 0.1, decay: float = 1e-4) -> Machine:
     """Logistic loss, adaptive gradient steps, fixed seed."""
     slot = np.full(BUCKETS, -1, np.int32)
@@ -107,12 +150,12 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int =
     hit = np.bincount(np.concatenate([t for (t, _), toxic in zip(rows, y) if toxic]), minlength=BUCKETS)
     expected = df * share
     chi = (hit - expected) ** 2 / np.maximum(expected * (1 - share) * (1 - df / n), 1e-9)
-    kept = np.flatnonzero((df >= 3) & (df < n) & (chi >= LEAST_CHI))
-    kept = kept[np.lexsort((kept, -chi[kept]))][:TERMS]
+    alone = (df >= 3) & (df < n) & (chi >= LEAST_CHI)
+    kept = np.union1d(np.flatnonzero(alone), _paired(rows, y, df, hit, share, alone))
     slot[kept] = np.arange(len(kept))
     rows = [(slot[t][slot[t] >= 0], x[slot[t] >= 0]) for t, x in rows]
     rng = np.random.default_rng(7)
-    w, v, bias = np.zeros(len(kept)), rng.normal(0, 0.01, (len(kept), FACTORS)), np.log(share / (1 - share))
+    w, v, bias = np.zeros(len(kept)), rng.normal(0, 0.05, (len(kept), FACTORS)), np.log(share / (1 - share))
     gw, gv, gb = np.full(len(kept), 1e-6), np.full((len(kept), FACTORS), 1e-6), 1e-6
     for _ in range(epochs):
         order = rng.permutation(n)
@@ -154,28 +197,25 @@ def scored(docs: DataFrame, machine: Machine, name: str = "toxicity_score") -> D
     Every row and column is kept; a column of that name is replaced.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.drop(name)
     shared = spark.sparkContext.broadcast(machine)
-    lowered = "__lowered_text"
     size = max(len(machine.w), 1)
 
-    def score(batches):
+    @lean
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
-        for batch in batches:
-            out = np.empty(batch.num_rows)
-            for row, end, data, offsets in slices(batch.column(batch.num_columns - 1)):
+        for texts in batches:
+            out = np.empty(len(texts))
+            for row, end, data, offsets in slices(texts):
                 of, term = term_buckets(data, offsets)
                 at = m.slot[term]
                 of, at, x = _counted(of[at >= 0], at[at >= 0].astype(np.int64), size)
                 raw, _ = _score(m.bias, m.w, m.v, at, x, of, end - row)
                 out[row:end] = 1 / (1 + np.exp(-np.clip(raw, -60, 60)))
-            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(out)], names=[*batch.schema.names[:-1], name])
+            yield pa.array(out)
 
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
-    return docs.withColumn(lowered, F.lower(F.coalesce("text", F.lit("")))).mapInArrow(score, schema)
+    return docs.withColumn(name, F.arrow_udf(score, "double")(F.lower(F.coalesce("text", F.lit("")))))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -190,6 +230,9 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the machine doesn't reject, with all their columns."""
+    """The rows of ``docs`` that the machine doesn't reject, with all their columns.
+
+    Null and empty texts have the score of no terms; repeated rows stay or go together; an empty table gives none.
+    """
     name = "__toxicity_score"
     return scored(docs, train(docs, labels), name).filter(F.col(name) < REJECT).drop(name)
