@@ -20,10 +20,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rondel.llm.shared import mix, slices, span_hashes, words, written
+from rondel.llm.shared import lean, mix, slices, small_batches, span_hashes, spread_join, words, written
 
 #: Words of a shingle, and the similarity from which two texts are near copies.
 WORDS, SIMILARITY = 5, 0.8
@@ -86,6 +87,7 @@ def feature_counts(docs: DataFrame) -> tuple[int, np.ndarray]:
     task gathers a row from every other.
     """
 
+    @lean
     def count(batches):
         table, n = np.zeros(FEATURES, np.int64), 0
         for batch in batches:
@@ -93,7 +95,8 @@ def feature_counts(docs: DataFrame) -> tuple[int, np.ndarray]:
             for _, _, data, offsets in _blocks(batch.column(0)):
                 _, key, _, _ = shingle_keys(data, offsets)
                 table += np.bincount((key & np.uint64(FEATURES - 1)).astype(np.int64), minlength=FEATURES)
-        salt = int(np.random.default_rng().integers(64))
+        # By the partition, so that a task that runs again sends its rows where they went before.
+        salt = TaskContext.get().partitionId() % 64
         yield packed([(-1, salt, np.array([n], np.int64))] if n else [])
         yield packed([(c, salt, part) for c in range(FEATURES // _CHUNK) if (part := table[c * _CHUNK : (c + 1) * _CHUNK]).any()])
 
@@ -110,12 +113,12 @@ def feature_counts(docs: DataFrame) -> tuple[int, np.ndarray]:
     def widen(raw):
         return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
 
-    def total(pdf):
-        part = sum(map(widen, pdf["counts"]))
-        return pdf.iloc[:1].assign(counts=[narrow(part)])
+    def total(rows: pa.Table) -> pa.Table:
+        part = narrow(sum(widen(raw) for raw in rows["counts"].to_pylist()))
+        return rows.slice(0, 1).set_column(2, "counts", pa.array([part], pa.binary()))
 
     kind = "chunk int, salt int, counts binary"
-    parts = docs.select("text").mapInArrow(count, kind).groupBy("chunk", "salt").applyInPandas(total, kind).groupBy("chunk").applyInPandas(total, kind)
+    parts = docs.select("text").mapInArrow(count, kind).groupBy("chunk", "salt").applyInArrow(total, kind).groupBy("chunk").applyInArrow(total, kind)
     table, n = np.zeros(FEATURES, np.int64), 0
     for r in parts.collect():  # at most FEATURES / 1024 + 1 rows
         if r.chunk < 0:
@@ -195,6 +198,7 @@ def weighted_samples(row: np.ndarray, key: np.ndarray, weight: np.ndarray, rows:
 def sketches(docs: DataFrame, weights) -> DataFrame:
     """(doc_id, node, samples): node is the digest of the text's words, samples the packed weighted samples (null: no words)."""
 
+    @lean
     def sketch(batches):
         table = weights.value
         for batch in batches:
@@ -215,6 +219,7 @@ def sketches(docs: DataFrame, weights) -> DataFrame:
 def weighted_jaccard(pairs: DataFrame, weights) -> DataFrame:
     """(a, b, similarity) of each row of ``pairs`` (a, b, text_a, text_b): sum of least over sum of largest tf x idf."""
 
+    @lean
     def verify(batches):
         table = weights.value
         for batch in batches:
@@ -261,6 +266,7 @@ def tile_links(members: DataFrame, weights) -> DataFrame:
     dealt = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label", "text")
     tiles = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "block", "node")
 
+    @lean
     def compare(batches):
         table, held, key = weights.value, [], None
         for batch in batches:
@@ -362,6 +368,7 @@ def node_of(text: str = "text"):
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, node, label): label is the least node of the class, for each row of ``docs``."""
     spark = docs.sparkSession
+    small_batches(spark)
     base = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("text"), node_of().alias("node"))
     n, counts = feature_counts(base)
     weights = spark.sparkContext.broadcast(feature_weights(n, counts))
@@ -392,7 +399,8 @@ def classes(docs: DataFrame) -> DataFrame:
     more = written(tile_links(rest, weights), "links")
     if more.limit(1).count():
         labels = components(links.union(more))
-    return rows.select("doc_id", "node").join(labels, "node", "left").select("doc_id", "node", F.coalesce("label", "node").alias("label"))
+    told = spread_join(rows.select("doc_id", "node"), labels, ["node"], ["doc_id"], "left")
+    return told.select("doc_id", "node", F.coalesce("label", "node").alias("label"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -407,7 +415,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     told = written(classes(docs), "classes")
     first = told.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    return told.join(first, "label").select("doc_id", "class_id")
+    return spread_join(told, first, ["label"], ["doc_id"]).select("doc_id", "class_id")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
