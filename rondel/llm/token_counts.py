@@ -15,6 +15,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rondel.llm.shared import lean, small_batches, spread_join
+
 #: Texts of more tokens are over the limit.
 LIMIT = 4096
 #: Texts handed to the library at once.
@@ -40,9 +42,11 @@ def _counter(name: str, raw: bytes):
 
 def encode_misses(misses: DataFrame, model_path: str, version: str) -> DataFrame:
     """(content, version, n_tokens) of each row (content, text)."""
+    small_batches(misses.sparkSession)
     with open(model_path, "rb") as f:
         raw = misses.sparkSession.sparkContext.broadcast(f.read())
 
+    @lean
     def count(batches):
         counts = _counter(model_path, raw.value)
         for batch in batches:
@@ -76,7 +80,8 @@ def token_counts(docs: DataFrame, model_path: str, cache_path: str, limit: int =
     empty table gives none and leaves the cache as it was; other columns are ignored.
 
     Copies meet by digest after a partial aggregation in each task, so a content
-    that fills a third of the rows arrives once from each.
+    that fills a third of the rows arrives once from each; their rows are dealt out
+    to read the count.
     """
     spark = docs.sparkSession
     with open(model_path, "rb") as f:
@@ -89,4 +94,4 @@ def token_counts(docs: DataFrame, model_path: str, cache_path: str, limit: int =
     encode_misses(misses.dropDuplicates(["content"]), model_path, version).write.mode("append").parquet(cache_path)
     counts = read_cache(spark, cache_path, version)
     keys = rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "content")
-    return keys.join(counts, "content", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return spread_join(keys, counts, ["content"], ["doc_id"], "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
