@@ -25,6 +25,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from rondel.llm.shared import lean, small_batches
+
 #: Entries of the tables that grow with the text; when full they start anew.
 WORDS_KEPT, STATES_KEPT, PAIRS_KEPT = 500_000, 150_000, 500_000
 #: Rows that a worker turns into Python objects at once.
@@ -360,8 +362,10 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """
     with open(ranks_path, "rb") as f:
         raw = docs.sparkSession.sparkContext.broadcast(f.read())
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
+    @lean
     def both(batches):
         own = codec(raw.value, pattern)
         names = own.names
