@@ -32,7 +32,7 @@ STEP, STEPS, PRECISION = 1.5, 60, 1e-3
 #: Rates have no upper bound, so that the rarest domain can reach its target.
 MAX_RATE = math.inf
 #: Posterior of ``LOW`` from which a row may vanish.
-CLEAR = 0.9
+CLEAR = 0.99
 #: From ``STEPS`` on, steps go on while each ``STRIDE`` of them take this share off the loss.
 GAIN, STRIDE = 0.1, 6
 
@@ -192,8 +192,13 @@ def _rate(fit: Fit) -> Column:
     if not fit.pulls:
         return F.lit(1.0)
     pulls = F.array(*[F.array(*map(F.lit, p)) for p in fit.pulls])
-    dot = lambda pull: reduce(lambda a, b: a + b, [pull[k] * own[k] for k in range(len(fit.domains))])
-    return F.when(F.col("n_tokens") > 0, F.aggregate(pulls, F.lit(1.0), lambda x, pull: F.greatest(F.lit(0.0), x - dot(pull)))).otherwise(1.0)
+
+    def descended(p: Column) -> Column:
+        dot = lambda pull: reduce(lambda a, b: a + b, [pull[k] * p[k] for k in range(len(fit.domains))])
+        return F.aggregate(pulls, F.lit(1.0), lambda x, pull: F.greatest(F.lit(0.0), x - dot(pull)))
+
+    # Posteriors are bound by a lambda, so that the steps don't work them out again.
+    return F.when(F.col("n_tokens") > 0, F.transform(F.array(own), descended)[0]).otherwise(1.0)
 
 
 def row_key(doc_id: str, text: str) -> Column:
@@ -233,5 +238,7 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
         copies = F.when(F.col(f"p{fit.domains.index(LOW)}") >= CLEAR, copies).otherwise(F.greatest(copies, F.lit(1)))
     else:
         copies = F.greatest(copies, F.lit(1))
-    told = rows.select("__row", copies.alias("__copies")).filter("__copies > 0")
-    return told.select("__row", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col("__row")[f"c{i}"].alias(c) for i, c in enumerate(docs.columns)])
+    # Rows of no copies go after the explosion: a filter before it would be pushed down to the
+    # scan with all that it is worked out from, and each text would be looked through twice.
+    told = rows.select("__row", copies.alias("__copies")).select("__row", F.explode_outer(F.when(F.col("__copies") > 0, F.sequence(F.lit(1), F.col("__copies")))).alias("__copy"))
+    return told.filter("__copy is not null").select(*[F.col("__row")[f"c{i}"].alias(c) for i, c in enumerate(docs.columns)])
