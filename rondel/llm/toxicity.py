@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from rondel.llm.shared import lean, slices, small_batches, span_hashes, words
 
 #: Labelled rows that the machine is fitted on, at most, and bytes of their terms; picked by a hash of doc_id.
-SAMPLE, SAMPLE_BYTES = 8000, 256 << 20
+SAMPLE, SAMPLE_BYTES = 8000, 64 << 20
 #: Hashed terms; factors of a term.
 BUCKETS, FACTORS = 1 << 20, 8
 #: A term gets a weight and factors if it tells by itself (chi-square), or in some pair: by how
@@ -98,7 +98,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine:
     terms = joined.mapInArrow(_terms, f"doc_id {kind}, toxic int, terms binary")
     so_far = F.sum(F.octet_length("terms")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
     rows = sorted(terms.withColumn("so_far", so_far).filter(F.col("so_far") <= SAMPLE_BYTES).drop("so_far").collect(), key=lambda r: (r.doc_id, bytes(r.terms)))
-    return fit([unpacked(bytes(r.terms)) for r in rows], np.array([r.toxic for r in rows], np.float64))
+    toxic, packed = np.array([r.toxic for r in rows], np.float64), [bytes(r.terms) for r in rows]
+    del rows
+    return fit([unpacked(raw) for raw in packed], toxic)
 
 
 def unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -106,22 +108,20 @@ def unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(raw[:half], np.int32), np.frombuffer(raw[half:], np.float32)
 
 
-def _paired(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, df: np.ndarray, hit: np.ndarray, share: float, alone: np.ndarray, block: int = 1024) -> np.ndarray:
+def _paired(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, df: np.ndarray, hit: np.ndarray, share: float, alone: np.ndarray, block: int = 128) -> np.ndarray:
     """Terms that tell in a pair what neither tells alone; counts of pairs are products of blocks of the row x term matrix."""
     n = len(y)
     terms = np.flatnonzero((df >= max(3, PAIR_SHARE * n)) & (df <= (1 - PAIR_SHARE) * n) & ~alone)
     place = np.full(BUCKETS, -1, np.int32)
     place[terms] = np.arange(len(terms))
-    row = np.repeat(np.arange(n), [len(t) for t, _ in rows])
-    at = place[np.concatenate([t for t, _ in rows])]
-    row, at = row[at >= 0], at[at >= 0]
-    order = np.argsort(at, kind="stable")
-    row, at = row[order], at[order]
+    # (term's place, row), sorted, in one array: the driver's memory is small.
+    cells = np.concatenate([own[own >= 0].astype(np.int64) << 32 | i for i, own in enumerate(place[t] for t, _ in rows)])
+    cells.sort()
 
     def matrix(first: int) -> np.ndarray:
-        a, b = np.searchsorted(at, [first, first + block])
+        a, b = np.searchsorted(cells, [first << 32, (first + block) << 32])
         out = np.zeros((n, min(block, len(terms) - first)), np.float32)
-        out[row[a:b], at[a:b] - first] = 1
+        out[cells[a:b] & 0xFFFFFFFF, (cells[a:b] >> 32) - first] = 1
         return out
 
     rate, told = hit[terms] / np.maximum(df[terms], 1), np.zeros(len(terms), bool)
