@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rondel.llm.shared import lean, slices, small_batches, span_hashes, words
+from rondel.llm.shared import give_back, lean, slices, small_batches, span_hashes, words
 
 #: Labelled rows that the machine is fitted on, at most, and bytes of their terms; picked by a hash of doc_id.
 SAMPLE, SAMPLE_BYTES = 8000, 64 << 20
@@ -100,7 +100,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine:
     rows = sorted(terms.withColumn("so_far", so_far).filter(F.col("so_far") <= SAMPLE_BYTES).drop("so_far").collect(), key=lambda r: (r.doc_id, bytes(r.terms)))
     toxic, packed = np.array([r.toxic for r in rows], np.float64), [bytes(r.terms) for r in rows]
     del rows
-    return fit([unpacked(raw) for raw in packed], toxic)
+    machine = fit([unpacked(raw) for raw in packed], toxic)
+    del packed
+    give_back()
+    return machine
 
 
 def unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
