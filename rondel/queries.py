@@ -737,3 +737,123 @@ def kernel_components_whole(spark, sf):
     edges = _customer_links(spark, sf, 5, 2)
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     return kernels.connected_components(edges, nodes)
+
+
+# Rules and small operators, on columns of the synthetic tables
+
+_STATUSES = ("success", "format_error", "compile_error", "wrong_answer", "timeout", "max_distance_reached", "translation_budget_reached", "collection_complete", "infrastructure_error", "api_error", "parse_error", "oscillation", "max_iter_no_convergence", "confirmation_failed", "runtime_error")
+
+
+@query(
+    f"""WITH s AS (SELECT list_extract([{", ".join(f"'{s}'" for s in _STATUSES)}], (o_orderkey % {len(_STATUSES)})::INT + 1) AS status, o_orderkey % 4 = 0 AS missing FROM orders)
+    SELECT status, CASE WHEN status IN ('format_error', 'compile_error', 'wrong_answer', 'timeout', 'runtime_error') THEN 'functional_failure' WHEN status = 'max_distance_reached' THEN 'fps_limit' WHEN status = 'translation_budget_reached' THEN 'budget' WHEN status = 'collection_complete' THEN 'collection_complete' ELSE 'invalid' END AS fps,
+    CASE WHEN status = 'api_error' OR missing THEN 'infrastructure' WHEN status IN ('success', 'oscillation', 'confirmation_failed') THEN status WHEN status = 'parse_error' THEN 'format_error' WHEN status = 'max_iter_no_convergence' THEN 'max_iterations' ELSE 'functionality_error' END AS paper,
+    status IN ('api_error', 'parse_error', 'compile_error', 'runtime_error', 'timeout') AS infrastructure, count(*) AS n FROM s GROUP BY ALL"""
+)
+def category_maps(spark, sf):
+    at = F.col("o_orderkey") % len(_STATUSES)
+    rows = table(spark, sf, "orders").select(F.element_at(F.array(*map(F.lit, _STATUSES)), (at + 1).cast("int")).alias("status"), (F.col("o_orderkey") % 4 == 0).alias("missing"))
+    maps = (stats.fps_category(F.col("status")).alias("fps"), stats.paper_category(F.col("status"), F.col("missing")).alias("paper"), stats.report_infrastructure(F.col("status")).alias("infrastructure"))
+    return rows.groupBy("status", *maps).agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_partkey, regexp_full_match(p_name, '[A-Za-z0-9][A-Za-z0-9_.-]{0,99}') AS valid, contains(lower(p_name), lower(p_brand)) OR contains(lower(p_brand), lower(p_name)) AS loose, p_name = p_brand OR p_brand = split_part(p_name, ' ', 1) AS exact FROM part")
+def identifiers_and_models(spark, sf):
+    name, brand = F.col("p_name"), F.col("p_brand")
+    return table(spark, sf, "part").select("p_partkey", stats.valid_identifier(name).alias("valid"), stats.model_matches(name, brand, False).alias("loose"), stats.model_matches(name, brand, True, F.array(F.split(name, " ")[0])).alias("exact"))
+
+
+@query("SELECT event_id, round(CASE WHEN user_id % 3 = 0 THEN value ELSE (k * 0.5 + 7 * 2.0) / 1e6 END, 9) AS most, CASE WHEN k % 5 = 0 THEN k::DOUBLE ELSE least(2.0 ** (event_id % 6), 8.0) END AS delay, (floor(value::DECIMAL(20,9) * 100) / 100)::DOUBLE AS cents FROM (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)")
+def cost_rules(spark, sf):
+    k = F.get_json_object("props", "$.k").cast("long")
+    bound = F.when(F.col("user_id") % 3 == 0, F.col("value"))
+    return table(spark, sf, "events").select("event_id", F.round(stats.maximum_cost(bound, k, F.lit(7), (0.5, 0.1, 2.0)), 9).alias("most"), stats.retry_delay(F.col("event_id") % 6, F.when(k % 5 == 0, k)).alias("delay"), stats.floor_cents(F.col("value")).cast("double").alias("cents"))
+
+
+@query("WITH t AS (SELECT conv_id || '-' || turn AS pair_id, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS a, text AS b FROM conversations) SELECT pair_id, CASE WHEN replace(replace(a, chr(13) || chr(10), chr(10)), chr(13), chr(10)) = replace(replace(b, chr(13) || chr(10), chr(10)), chr(13), chr(10)) THEN 1.0 ELSE 0.0 END::DOUBLE AS same, strlen(b) - strlen(a) AS delta FROM t WHERE a IS NOT NULL AND b IS NOT NULL")
+def source_changes(spark, sf):
+    a, b = F.col("before"), F.col("text")
+    return _turns(spark, sf).filter("text is not null").select("pair_id", text.source_identity(a, b).alias("same"), text.byte_delta(a, b).alias("delta"))
+
+
+_MUTATED = {"whitespace": "replace(props, ' ', '  ')", "comment": "'// note' || chr(10) || props", "identifier": r"regexp_replace(props, '\b([a-z_])\b', '\1_renamed', 'g')", "operator": "replace(props, '+', '-')", "line_drop": r"regexp_replace(props, '\A[^\n]*\n', '')"}
+
+
+@query(" UNION ALL ".join(f"SELECT event_type, '{name}' AS name, count(*) FILTER ({sql} <> props) AS changed, sum(length({sql})) AS characters FROM events GROUP BY event_type" for name, sql in _MUTATED.items()))
+def payload_mutations(spark, sf):
+    rows = table(spark, sf, "events").select("event_type", "props", F.explode(text.mutations(F.col("props"))).alias("m"))
+    return rows.groupBy("event_type", F.col("m.name").alias("name")).agg(F.count_if(F.col("m.source") != F.col("props")).alias("changed"), F.sum(F.length("m.source")).alias("characters"))
+
+
+@query(f"WITH {STEPS_SQL}, r AS (SELECT route, step, sum(CASE WHEN restored AND functional THEN 1 ELSE 0 END) OVER (PARTITION BY trial ORDER BY step) AS n FROM steps) SELECT route, step, count(*) AS chains, sum(n) AS round_trips, max(n) AS most FROM r GROUP BY ALL")
+def round_trips(spark, sf):
+    found = chains.completed_round_trips(step_view(spark, sf))
+    return found.groupBy("route", "step").agg(F.count("*").alias("chains"), F.sum("round_trips").alias("round_trips"), F.max("round_trips").alias("most"))
+
+
+@query("SELECT o_custkey AS customer, min(o_orderkey) AS attempt FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1")
+def first_evaluable_attempt(spark, sf):
+    rows = table(spark, sf, "orders").select(F.col("o_custkey").alias("customer"), F.col("o_orderkey").alias("attempt"), "o_orderstatus")
+    return chains.first_evaluable(rows, ["customer"], F.col("o_orderstatus") != "P").select("customer", "attempt")
+
+
+@query("SELECT o_custkey AS customer, coalesce(min(o_orderkey) FILTER (o_orderstatus = 'F'), max(o_orderkey)) AS attempt FROM orders GROUP BY 1")
+def selected_attempt(spark, sf):
+    rows = table(spark, sf, "orders").select(F.col("o_custkey").alias("customer"), F.col("o_orderkey").alias("attempt"), (F.col("o_orderstatus") == "F").alias("finished"))
+    return chains.selected_trials(rows, ["customer"]).select("customer", "attempt")
+
+
+@query(
+    """WITH e AS (SELECT event_id // 4 AS call_id, event_id AS seq, list_extract(['reserved', 'inflight', 'completed', 'failed', 'unknown', 'reserved', 'inflight'], (event_id % 7)::INT + 1) AS kind, value AS amount FROM events),
+    t AS (SELECT call_id, min(seq) FILTER (kind IN ('completed', 'failed', 'unknown')) AS ended FROM e GROUP BY call_id),
+    k AS (SELECT e.* FROM e JOIN t ON e.call_id = t.call_id AND (t.ended IS NULL OR e.seq <= t.ended)),
+    a AS (SELECT call_id, arg_max(kind, seq) AS status, arg_max(amount, seq) AS last, coalesce(arg_max(amount, seq) FILTER (kind = 'reserved'), 0) AS held FROM k GROUP BY call_id)
+    SELECT call_id, status, CASE WHEN status = 'completed' THEN last END AS cost, CASE WHEN status IN ('reserved', 'inflight') THEN held ELSE 0 END::DOUBLE AS reserved, CASE WHEN status = 'unknown' THEN held ELSE 0 END::DOUBLE AS uncertain FROM a"""
+)
+def ledger_fold(spark, sf):
+    kinds = F.array(*map(F.lit, ("reserved", "inflight", "completed", "failed", "unknown", "reserved", "inflight")))
+    rows = table(spark, sf, "events").select(F.floor(F.col("event_id") / 4).alias("call_id"), F.col("event_id").alias("seq"), F.element_at(kinds, (F.col("event_id") % 7 + 1).cast("int")).alias("kind"), F.col("value").alias("amount"))
+    return folds.ledger_state(rows)
+
+
+@query(f"WITH {STEPS_SQL}, s AS (SELECT trial, phase, CASE WHEN trial % 37 = 0 AND step = 1 THEN -1.0 ELSE transports * 60.0 END AS seconds FROM steps) SELECT trial, CASE WHEN bool_or(seconds < 0) THEN 'clock_regression' WHEN coalesce(sum(seconds) FILTER (phase = 'discovery'), 0) > 600 THEN 'discovery_deadline' WHEN coalesce(sum(seconds) FILTER (phase = 'confirmation'), 0) > 150 THEN 'confirmation_deadline' ELSE 'ok' END AS status FROM s GROUP BY trial")
+def deadline_status(spark, sf):
+    seconds = F.when((F.col("trial") % 37 == 0) & (F.col("step") == 1), -1.0).otherwise(F.col("transports") * 60.0)
+    return folds.deadlines(step_view(spark, sf).withColumn("seconds", seconds), 600, 150)
+
+
+@query("WITH q AS (SELECT CAST(n_nationkey AS VARCHAR) AS query, n_name AS answer FROM nation UNION ALL SELECT n_name, CAST(n_nationkey AS VARCHAR) FROM nation) SELECT * FROM q")
+def kernel_dictionary(spark, sf):
+    nations = table(spark, sf, "nation").select(F.col("n_nationkey").alias("number"), F.col("n_name").alias("name"))
+    asked = nations.select(F.col("number").cast("string").alias("query")).union(nations.select("name"))
+    return kernels.dictionary_lookup(nations, asked)
+
+
+@query("WITH s AS (SELECT c_custkey, replace(replace(bin(c_custkey), '1', '('), '0', ')') AS s FROM customer WHERE c_custkey > 0), c AS (SELECT c_custkey, unnest(range(1, length(s) + 1)) AS i, s FROM s), d AS (SELECT c_custkey, i, sum(CASE WHEN s[i] = '(' THEN 1 ELSE -1 END) OVER (PARTITION BY c_custkey ORDER BY i) AS d, length(s) AS n FROM c) SELECT c_custkey, min(d) >= 0 AND min(d) FILTER (i = n) = 0 AS balanced FROM d GROUP BY c_custkey")
+def kernel_balanced(spark, sf):
+    rows = table(spark, sf, "customer").filter("c_custkey > 0")
+    return rows.select("c_custkey", kernels.balanced(F.translate(F.bin("c_custkey"), "10", "()")).alias("balanced"))
+
+
+@query("SELECT c_custkey, list_sort(string_split(CAST(c_custkey AS VARCHAR), '')) = list_sort(string_split(CAST(c_custkey * 10 // 7 AS VARCHAR), '')) AS anagram FROM customer")
+def kernel_anagram(spark, sf):
+    other = F.floor(F.col("c_custkey") * 10 / 7).cast("string")
+    return table(spark, sf, "customer").select("c_custkey", kernels.anagram(F.col("c_custkey").cast("string"), other).alias("anagram"))
+
+
+@kernel(", v AS (SELECT case_id, list(x % 4 ORDER BY i) AS v FROM series GROUP BY 1) SELECT case_id, array_to_string(list_concat(list_filter(v, lambda y: y <> 0), list_filter(v, lambda y: y = 0)), ',') AS moved FROM v")
+def kernel_moved_zeroes(spark, sf):
+    values = F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"] % 4)
+    rows = _series(spark, sf).groupBy("case_id").agg(values.alias("v"))
+    return rows.select("case_id", F.concat_ws(",", kernels.moved_zeroes(F.col("v")).cast("array<string>")).alias("moved"))
+
+
+@query("SELECT c_custkey, (factorial((r + c - 2)::INT) / (factorial((r - 1)::INT) * factorial((c - 1)::INT)))::BIGINT AS paths FROM (SELECT c_custkey, c_nationkey % 9 + 1 AS r, c_custkey % 9 + 1 AS c FROM customer)")
+def kernel_unique_paths(spark, sf):
+    return table(spark, sf, "customer").select("c_custkey", kernels.unique_paths(F.col("c_nationkey") % 9 + 1, F.col("c_custkey") % 9 + 1).alias("paths"))
+
+
+@query("SELECT n_nationkey, count(*) AS ways FROM nation, range(0, 26) b(two), range(0, 18) c(more) WHERE 2 * two + (3 + n_nationkey) * more <= 50 GROUP BY n_nationkey")
+def kernel_change_ways(spark, sf):
+    coins = F.array(F.lit(1).cast("long"), F.lit(2).cast("long"), F.col("n_nationkey").cast("long") + 3)
+    return table(spark, sf, "nation").select("n_nationkey", kernels.change_ways(coins, 50).cast("long").alias("ways"))
