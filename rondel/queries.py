@@ -857,3 +857,33 @@ def kernel_unique_paths(spark, sf):
 def kernel_change_ways(spark, sf):
     coins = F.array(F.lit(1).cast("long"), F.lit(2).cast("long"), F.col("n_nationkey").cast("long") + 3)
     return table(spark, sf, "nation").select("n_nationkey", kernels.change_ways(coins, 50).cast("long").alias("ways"))
+
+
+@query(
+    """WITH RECURSIVE h AS (SELECT 10 AS disc, 0 AS source, 2 AS target, 1 AS rest, 512 AS move UNION ALL
+    SELECT disc - 1, CASE WHEN side = 0 THEN source ELSE rest END, CASE WHEN side = 0 THEN rest ELSE target END, CASE WHEN side = 0 THEN target ELSE source END, move + (2 * side - 1) * (1 << (disc - 2)) FROM h, (VALUES (0), (1)) s(side) WHERE disc > 1)
+    SELECT move, disc, source, target FROM h"""
+)
+def kernel_hanoi(spark, sf):
+    return kernels.hanoi(10, spark)
+
+
+@query("SELECT c_custkey, regexp_full_match(CAST(c_custkey AS VARCHAR), '(1|23|4|56|78|90|35|7)*') AS breaks FROM customer")
+def kernel_word_break(spark, sf):
+    return table(spark, sf, "customer").select("c_custkey", kernels.word_break(F.col("c_custkey").cast("string"), ["1", "23", "4", "56", "78", "90", "35", "7"]).alias("breaks"))
+
+
+@query(
+    """WITH l AS (SELECT lang, trim(unnest(string_split(text, chr(10))), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line FROM documents)
+    SELECT lang, count(*) AS lines, count(*) FILTER (regexp_matches(line, '^(#include|import |from |def |class |public |private |protected |int |long |double |float |for |while |if |else|return)') OR regexp_matches(line, '[;{}()=]|->|::')) AS code FROM l GROUP BY lang"""
+)
+def code_lines(spark, sf):
+    lines = table(spark, sf, "documents").select("lang", F.explode(F.split("text", "\n")).alias("line"))
+    return lines.groupBy("lang").agg(F.count("*").alias("lines"), F.count_if(text.is_code_line(F.col("line"))).alias("code"))
+
+
+@query(f"WITH {OUTCOMES_SQL}, c AS (SELECT route, problem, count(*) FILTER (problem <> 0 AND category <> 'hop_limit') AS valid, count(*) FILTER (problem <> 0 AND category = 'success') AS hits FROM outcomes GROUP BY route, problem) SELECT route, problem, valid, hits, CASE WHEN valid > 0 THEN round(greatest(0.0, {_W} - {_WH}), 6) END AS low, CASE WHEN valid > 0 THEN round(least(1.0, {_W} + {_WH}), 6) END AS high, CASE WHEN valid > 0 THEN round({_W} - {_WH}, 6) END AS free_low, CASE WHEN valid > 0 THEN round({_W} + {_WH}, 6) END AS free_high FROM c")
+def wilson_without_trials(spark, sf):
+    """Some groups have no valid outcome; their bounds are null."""
+    seen = outcome_view(spark, sf).withColumn("category", F.when((F.col("problem") == 0) | (F.col("category") == "hop_limit"), "invalid").otherwise(F.col("category")))
+    return outcomes.with_wilson(seen, "route", "problem")
