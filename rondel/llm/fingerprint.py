@@ -9,7 +9,7 @@ substrings are cut alike wherever they stand, but for a margin at each end.
 Runs of equal symbols count as one symbol, so neighbours always differ.
 
 A phrase's name is a hash of its bytes. The fingerprint holds the ``KEPT`` least
-names of its levels from ``FIRST_LEVEL``; likeness estimates the Jaccard
+names of all its levels, for texts of every size; likeness estimates the Jaccard
 similarity of the sets of names.
 """
 
@@ -24,9 +24,7 @@ from pyspark.sql import functions as F
 
 from rondel.llm.shared import SLICE_BYTES, span_hashes
 
-KEPT, FIRST_LEVEL, LEVELS = 32, 2, 24
-#: Texts of fewer bytes have too few phrases above level 1; theirs of level 1 count too.
-SHORT = 96
+KEPT, LEVELS = 32, 24
 
 _LOWEST = np.array([(b & -b).bit_length() - 1 if b else 0 for b in range(256)], np.uint8)
 
@@ -84,18 +82,14 @@ def phrases(data: np.ndarray, offsets: np.ndarray):
 def signatures(texts: list[bytes]) -> list[np.ndarray]:
     """The sorted ``KEPT`` least 32-bit names of each text; none for an empty text.
 
-    Names of all levels from ``FIRST_LEVEL`` count, for texts under ``SHORT`` bytes
-    those below it too.
+    Names of all levels count.
     """
     data = np.frombuffer(b"".join(texts), np.uint8)
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
     if not len(data):
         return [np.zeros(0, np.uint32)] * len(texts)
     found = []
-    for level, (row, names) in enumerate(phrases(data, offsets), 1):
-        if level < FIRST_LEVEL:
-            short = np.diff(offsets)[row] < SHORT
-            row, names = row[short], names[short]
+    for row, names in phrases(data, offsets):
         found.append((row.astype(np.uint64) << np.uint64(32)) | (names >> np.uint64(32)))
     key = np.unique(np.concatenate(found))
     row, name = (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
