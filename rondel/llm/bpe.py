@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 
 from rondel.llm.shared import lean, small_batches
 
-#: Entries of the tables that grow with the text; when full they start anew.
-WORDS_KEPT, STATES_KEPT, PAIRS_KEPT = 500_000, 150_000, 500_000
+#: Entries of the tables that grow with the text; full, they lose their elder (words), younger (states) or all (pairs) entries.
+WORDS_KEPT, STATES_KEPT, PAIRS_KEPT = 250_000, 150_000, 300_000
 #: Rows that a worker turns into Python objects at once.
 ROWS = 200
 
@@ -113,14 +113,21 @@ class Transducer:
                     self.children.append({})
                     self.token.append(-1)
             self.token[node] = rank
-        self._restart()
-
-    def _restart(self) -> None:
         start = ((-1, 0, ()),)
         self.states: list[tuple] = [start]
         self.number: dict[tuple, int] = {start: 0}
         self.moves: list[dict[int, tuple[int, tuple]]] = [{}]
 
+    def _forget(self) -> None:
+        """Drop the younger half of the states: the beginnings of frequent pieces came first."""
+        kept = STATES_KEPT // 2
+        for state in self.states[kept:]:
+            del self.number[state]
+        del self.states[kept:], self.moves[kept:]
+        for moves in self.moves:
+            for byte in [b for b, (to, _) in moves.items() if to >= kept]:
+                del moves[byte]
+
     def _move(self, state: int, byte: int) -> tuple[int, tuple]:
         alive, boundary = [], None
         children, tokens = self.children, self.token
@@ -154,7 +161,7 @@ class Transducer:
 
     def encode(self, piece: bytes) -> list[int]:
         if len(self.states) > STATES_KEPT:
-            self._restart()
+            self._forget()
         state, out, moves = 0, [], self.moves
         for byte in piece:
             found = moves[state].get(byte)
