@@ -18,13 +18,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rondel.llm.shared import give_back, lean, slices, small_batches, span_hashes, words
+from rondel.llm.shared import give_back, lean, slices, small_batches, span_hashes, words, written
 
 #: Labelled rows that the machine is fitted on, at most, and bytes of their terms; picked by a hash of doc_id.
 SAMPLE, SAMPLE_BYTES = 8000, 64 << 20
+#: Parts that the labelled rows are dealt into.
+PARTS = 32
 #: Hashed terms; factors of a term.
 BUCKETS, FACTORS = 1 << 20, 8
 #: A term gets a weight and factors if it tells by itself (chi-square), or in some pair: by how
@@ -93,12 +95,20 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine:
     small_batches(docs.sparkSession)
     joined = docs.select("doc_id", text).join(F.broadcast(wanted), "doc_id")
     # Of rows that share an id one text teaches, so that there are no more rows than labels.
-    joined = joined.groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("text").alias("text")).select("doc_id", "toxic", "text")
+    joined = joined.repartition(PARTS, "doc_id").groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("text").alias("text")).select("doc_id", "toxic", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    terms = joined.mapInArrow(_terms, f"doc_id {kind}, toxic int, terms binary")
-    so_far = F.sum(F.octet_length("terms")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
-    rows = sorted(terms.withColumn("so_far", so_far).filter(F.col("so_far") <= SAMPLE_BYTES).drop("so_far").collect(), key=lambda r: (r.doc_id, bytes(r.terms)))
-    toxic, packed = np.array([r.toxic for r in rows], np.float64), [bytes(r.terms) for r in rows]
+    terms = written(joined.mapInArrow(_terms, f"doc_id {kind}, toxic int, terms binary"), "toxicity-terms")
+    # Sizes come first, then the terms one partition after the other: the driver's heap never holds them all.
+    sizes = terms.select(F.xxhash64("doc_id").alias("key"), "doc_id", F.octet_length("terms").alias("size")).collect()
+    total, taken = 0, set()
+    for _, doc_id, size in sorted(sizes):
+        total += size
+        if total > SAMPLE_BYTES:
+            break
+        taken.add(doc_id)
+    rows = [(r.doc_id, r.toxic, bytes(r.terms)) for r in terms.toLocalIterator() if r.doc_id in taken]
+    rows.sort(key=lambda r: r[0])
+    toxic, packed = np.array([r[1] for r in rows], np.float64), [r[2] for r in rows]
     del rows
     machine = fit([unpacked(raw) for raw in packed], toxic)
     del packed
@@ -118,7 +128,12 @@ def _paired(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, df: np.nda
     place = np.full(BUCKETS, -1, np.int32)
     place[terms] = np.arange(len(terms))
     # (term's place, row), sorted, in one array: the driver's memory is small.
-    cells = np.concatenate([own[own >= 0].astype(np.int64) << 32 | i for i, own in enumerate(place[t] for t, _ in rows)])
+    cells, at = np.empty(int(df[terms].sum()), np.int64), 0
+    for i, (t, _) in enumerate(rows):
+        own = place[t]
+        own = own[own >= 0]
+        cells[at : at + len(own)] = own.astype(np.int64) << 32 | i
+        at += len(own)
     cells.sort()
 
     def matrix(first: int) -> np.ndarray:
@@ -149,11 +164,15 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int =
         bias = np.log(max(share, 1e-9) / max(1 - share, 1e-9))
         return Machine(slot, float(bias), np.zeros(0, np.float32), np.zeros((0, FACTORS), np.float32))
     n = len(y)
-    df = np.bincount(np.concatenate([t for t, _ in rows]), minlength=BUCKETS)
-    hit = np.bincount(np.concatenate([t for (t, _), toxic in zip(rows, y) if toxic]), minlength=BUCKETS)
-    expected = df * share
-    chi = (hit - expected) ** 2 / np.maximum(expected * (1 - share) * (1 - df / n), 1e-9)
-    alone = (df >= 3) & (df < n) & (chi >= LEAST_CHI)
+    df, hit = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)
+    for (t, _), toxic in zip(rows, y):
+        df[t] += 1
+        if toxic:
+            hit[t] += 1
+    alone = np.zeros(BUCKETS, bool)
+    often = np.flatnonzero((df >= 3) & (df < n))
+    expected = df[often] * share
+    alone[often] = (hit[often] - expected) ** 2 / np.maximum(expected * (1 - share) * (1 - df[often] / n), 1e-9) >= LEAST_CHI
     kept = np.union1d(np.flatnonzero(alone), _paired(rows, y, df, hit, share, alone))
     slot[kept] = np.arange(len(kept))
     rows = [(slot[t][slot[t] >= 0], x[slot[t] >= 0]) for t, x in rows]
