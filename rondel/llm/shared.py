@@ -54,7 +54,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 #: Bytes of a batch that Spark hands to a worker; a longer row is a batch of its own.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
