@@ -95,9 +95,27 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rondel.llm.lexical import ranked
+
+    return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rondel.llm.secret_scan import scanned
+
+    return scanned(table(spark, sf_dir, "documents"))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rondel.llm.importance import resampled
+
+    return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_url_filter, op2_mixing, op3_pii_surrogates, op4_webp, op5_toxicity, op6_token_counts, op7_fingerprint, op8_html_text, op9_bpe, op10_minhash)
+    for f in (op1_url_filter, op2_mixing, op3_pii_surrogates, op4_webp, op5_toxicity, op6_token_counts, op7_fingerprint, op8_html_text, op9_bpe, op10_minhash, op11_lexical, op12_secrets, op13_importance)
 }
 
 
@@ -112,7 +130,9 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that SQL can state on whole tables.
 
-    None: all ten are trained, hashed or encoded; their tests hold them against
+    The others are trained, hashed or encoded; their tests hold them against
     brute force, library results, exact round trips or held-out accuracy.
     """
-    return {}
+    from rondel.llm import sql
+
+    return sql.queries()
