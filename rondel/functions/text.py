@@ -9,7 +9,9 @@ import tokenize
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StringType
+from pyspark.sql.types import ArrayType, StringType
+
+from rondel.operators.structure import sequence_ratio  # noqa: F401
 
 # The tokens of C-like languages; what matches none of them is skipped.
 # Literals are matched by possessive loops, which take no stack however long they are.
@@ -163,12 +165,6 @@ def residual(source_a: Column, source_b: Column, similarity: Column, tokens_a: C
     return F.struct(F.when(reason.isNull(), "measured").otherwise("unavailable").alias("status"), F.when(reason.isNull(), similarity).alias("value"), reason.alias("reason"))
 
 
-@F.pandas_udf(DoubleType())
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """difflib's ratio of two token arrays, without its junk heuristic; not symmetric."""
-    return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, list(x), list(y), autojunk=False).ratio() for x, y in zip(a, b)], dtype="float64")
-
-
 @F.pandas_udf(ArrayType(StringType()))
 def python_tokens(source: pd.Series) -> pd.Series:
     """Tokens of Python source without comments, line ends and indentation; null if it can't be tokenised."""

@@ -6,6 +6,9 @@ steps after that change nothing. Arrays are bounded by the protocol's step limit
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +17,18 @@ from rondel.functions.stats import ABORTING, fps_category, threshold_key
 STEP = ["step", "restored", "status", "similarity", "language", "state"]
 
 
+@dataclass(frozen=True)
+class Protocol:
+    """A fold: its state before any step, what a step makes of it, and the decision of chains with the state ``end``."""
+
+    zero: Column
+    step: Callable[[Column, Column], Column]
+    decided: Callable[[DataFrame], DataFrame]
+
+    def fold(self, chains: DataFrame) -> DataFrame:
+        return self.decided(chains.withColumn("end", F.aggregate("steps", self.zero, self.step)))
+
+
 def collected(steps: DataFrame, most: int | None = None) -> DataFrame:
     """One row for each chain with its steps in order, and seed_state, the seed's own (null where unknown).
 
@@ -35,6 +50,11 @@ def _by_threshold(thresholds: list[float], of) -> Column:
 
 
 def hops(chains: DataFrame, thresholds: list[float], primary: float, max_hops: int = 10) -> DataFrame:
+    """``hops_protocol`` folded over whole chains."""
+    return hops_protocol(thresholds, primary, max_hops).fold(chains)
+
+
+def hops_protocol(thresholds: list[float], primary: float, max_hops: int = 10) -> Protocol:
     """First-reach hops with one confirmation: (trial, problem, route, confirmation, terminal, outcomes).
 
     outcomes: array of (threshold, category, reached_step). A functional failure or
@@ -78,12 +98,16 @@ def hops(chains: DataFrame, thresholds: list[float], primary: float, max_hops: i
         changes["ended"] = terminal.isNotNull()
         return F.when(a["ended"], a).otherwise(_with(a, fields, **changes))
 
-    done = chains.withColumn("end", F.aggregate("steps", zero, step))
     out = _by_threshold(thresholds, lambda i, t: (F.col(f"end.c{i}").alias("category"), F.col(f"end.r{i}").alias("reached_step")))
-    return done.select("trial", "problem", "route", F.col("end.confirmation").alias("confirmation"), F.col("end.terminal").alias("terminal"), F.col("end.n").alias("n_steps"), out.alias("outcomes"))
+    return Protocol(zero, step, lambda done: done.select("trial", "problem", "route", F.col("end.confirmation").alias("confirmation"), F.col("end.terminal").alias("terminal"), F.col("end.n").alias("n_steps"), out.alias("outcomes")))
 
 
 def fps(chains: DataFrame, thresholds: list[float], max_states: int = 10, max_steps: int = 20, seed: str = "cpp") -> DataFrame:
+    """``fps_protocol`` folded over whole chains."""
+    return fps_protocol(thresholds, max_states, max_steps, seed).fold(chains)
+
+
+def fps_protocol(thresholds: list[float], max_states: int = 10, max_steps: int = 20, seed: str = "cpp") -> Protocol:
     """Unique-state distance: (trial, problem, route, terminal, states_at_stop, outcomes).
 
     outcomes: array of (threshold, category, d_n, reached_step, reached_roundtrip).
@@ -115,7 +139,6 @@ def fps(chains: DataFrame, thresholds: list[float], max_states: int = 10, max_st
         changes["ended"] = changes["terminal"].isNotNull()
         return F.when(a["ended"], a).otherwise(_with(a, fields, **changes))
 
-    done = chains.withColumn("end", F.aggregate("steps", zero, step))
     # Never measured, and stopped by a limit: what wasn't reached tells nothing.
     blind = (F.col("end.measured") == 0) & F.col("end.terminal").isin("max_distance_reached", "translation_budget_reached")
     unreached = F.when(F.col("end.terminal").isNull(), "incomplete").when(blind, "invalid").otherwise(fps_category(F.col("end.terminal")))
@@ -126,7 +149,7 @@ def fps(chains: DataFrame, thresholds: list[float], max_states: int = 10, max_st
             F.col(f"end.d{i}").alias("d_n"), F.col(f"end.r{i}").alias("reached_step"), F.col(f"end.t{i}").alias("reached_roundtrip"),
         ),
     )
-    return done.select("trial", "problem", "route", F.col("end.terminal").alias("terminal"), F.size("end.seen").alias("states_at_stop"), out.alias("outcomes"))
+    return Protocol(zero, step, lambda done: done.select("trial", "problem", "route", F.col("end.terminal").alias("terminal"), F.size("end.seen").alias("states_at_stop"), out.alias("outcomes")))
 
 
 def threshold_policy(chains: DataFrame, threshold: float, max_steps: int) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rondel.functions import stats, text
-from rondel.operators import audits, chains, folds, kernels, outcomes, ranking, resampling
+from rondel.operators import audits, chains, folds, kernels, outcomes, ranking, resampling, structure
 from rondel.plans.views import BLOCKS, OUTCOMES_SQL, STEPS_SQL, table
 from rondel.plans.views import outcomes as outcome_view
 from rondel.plans.views import steps as step_view
@@ -478,6 +478,27 @@ def sequence_ratio(spark, sf):
     return _turns(spark, sf).select("pair_id", text.sequence_ratio("a", "b").alias("ratio"))
 
 
+def _neighbours(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, a, b): the value of each row and of the row whose key is one higher."""
+    return rows.select(key, F.col(value).alias("a")).join(rows.select((F.col(key) - 1).alias(key), F.col(value).alias("b")), key)
+
+
+@query()
+def token_tiling(spark, sf):
+    """Greedy tiling of each document with the next."""
+    pairs = _neighbours(table(spark, sf, "documents"), "doc_id", "text").select("doc_id", *[text.c_tokens(F.col(c)).alias(c) for c in "ab"])
+    found = structure.tiled(pairs).select("doc_id", F.size("a").alias("n_a"), F.size("b").alias("n_b"), "covered", F.round("similarity", 6).alias("similarity"))
+    return found
+
+
+@query()
+def page_tree_similarity(spark, sf):
+    """Edit similarity of each page's tree with the next one's; ends that pages leave out are implied."""
+    pairs = _neighbours(table(spark, sf, "pages"), "page_id", "html").select("page_id", *[structure.page_events(F.col(c)).alias(c) for c in "ab"])
+    found = pairs.withColumn("m", structure.tree_similarity(strict=False)("a", "b"))
+    return found.select("page_id", "m.status", F.round("m.value", 6).alias("value"), "m.ted", "m.reason", F.col("m.nodes")[0].alias("nodes"), F.col("m.nodes")[1].alias("next_nodes"))
+
+
 _RESPONSES = [("one", "Here:\n```cpp\nint main() { return 0; }\n```\ndone"), ("two", "```\na\n```\nor\n```\nb\n```"), ("none", "int x = 1;\n"), ("blank", "```cpp\n\n```")]
 
 

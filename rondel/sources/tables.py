@@ -7,10 +7,11 @@ import json
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DataType, DoubleType, MapType, StringType, StructField, StructType
 
 # Schemas, one for each protocol version; a document of another shape fails.
 OUTCOME = "struct<success:boolean,category:string,reached_step:int,reached_roundtrip:int,unique_state_count_at_reach:int,d_n:int,sym_adj:double,sym_origin:double,reason:string>"
@@ -24,9 +25,12 @@ LEDGER = "call_id string, attempt_id string, phase string, status string, cost_u
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder of spark.checkpoint.dir; where that is unset, a temporary one on a local master (tests), else an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="rondel-")
         spark.sparkContext.setCheckpointDir(path)
         spark.conf.set("spark.checkpoint.dir", path)
@@ -58,7 +62,7 @@ def step_rows(rows: DataFrame, seed: str = "cpp") -> DataFrame:
     """Long form of the steps; kind, else phase, else discovery; search is discovery."""
     long = rows.select("problem_id", "route", F.coalesce("attempt", "repeat").alias("attempt"), F.explode("steps").alias("s"))
     kind = F.coalesce("s.kind", "s.phase", F.lit("discovery"))
-    return long.select("problem_id", "route", "attempt", "s.*").drop("kind", "phase").join(long.select("problem_id", "route", "attempt", "s.step", F.when(kind == "search", "discovery").otherwise(kind).alias("phase")), ["problem_id", "route", "attempt", "step"])
+    return long.select("problem_id", "route", "attempt", "s.*", F.when(kind == "search", "discovery").otherwise(kind).alias("phase_")).drop("kind", "phase").withColumnRenamed("phase_", "phase")
 
 
 def primary_outcome(rows: DataFrame, threshold: float) -> DataFrame:
@@ -195,12 +199,45 @@ def evidence_leaves(documents: DataFrame, column: str) -> DataFrame:
     return documents.sparkSession.sql(f"SELECT d.*, l.pointer, l.value FROM rondel_documents d, LATERAL rondel_leaves(d.{column}) l")
 
 
+def _masked(value: Column, kind: DataType, secret: set[str], mask: str) -> Column:
+    if isinstance(kind, StructType):
+        fields = [(F.lit(mask) if f.name in secret else _masked(value[f.name], f.dataType, secret, mask)).alias(f.name) for f in kind]
+        return F.when(value.isNotNull(), F.struct(*fields)) if fields else value
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: _masked(x, kind.elementType, secret, mask))
+    if isinstance(kind, MapType):
+        # An entry's mask has to be of the other entries' type, so plain values become text and others null.
+        nested = isinstance(kind.valueType, (StructType, ArrayType, MapType))
+        inner = lambda v: _masked(v, kind.valueType, secret, mask) if nested else v.cast("string")
+        hidden = F.lit(None) if nested else F.lit(mask)
+        return F.transform_values(value, lambda k, v: F.when(k.cast("string").isin(*secret), hidden).otherwise(inner(v)))
+    return value
+
+
 def masked(df: DataFrame, secret: set[str], mask: str = "***") -> DataFrame:
-    """Top-level columns and map entries whose name is secret hold the mask."""
-    out = df
-    for field in df.schema:
-        if field.name in secret:
-            out = out.withColumn(field.name, F.lit(mask))
-        elif field.dataType.typeName() == "map":
-            out = out.withColumn(field.name, F.transform_values(field.name, lambda k, v: F.when(k.isin(*secret), F.lit(mask)).otherwise(v.cast("string"))))
-    return out
+    """Columns, fields and map entries whose name is secret hold the mask, at any depth of structs, arrays and maps.
+
+    A secret entry of a map of nested values is null. Null values that aren't secret stay null.
+    """
+    return df.select(*[(F.lit(mask) if f.name in secret else _masked(F.col(f"`{f.name}`"), f.dataType, secret, mask)).alias(f.name) for f in df.schema])
+
+
+def masked_json(secret: set[str], mask: str = "***"):
+    """Column function: JSON text with the values of secret keys masked, at any depth; text that is no JSON becomes the mask."""
+
+    def walk(node):
+        if isinstance(node, dict):
+            return {k: mask if k in secret else walk(v) for k, v in node.items()}
+        return [walk(v) for v in node] if isinstance(node, list) else node
+
+    def one(text):
+        try:
+            return json.dumps(walk(json.loads(text)), ensure_ascii=False, sort_keys=True)
+        except ValueError:
+            return mask
+
+    @F.pandas_udf(StringType())
+    def run(text: pd.Series) -> pd.Series:
+        return text.map(one, na_action="ignore")
+
+    return run
