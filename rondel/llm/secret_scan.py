@@ -149,12 +149,15 @@ def _encoding(token: Column) -> Column:
 def decoys(text: Column) -> Column:
     """(encoding, value) of natural text: a window of ``text``, without its candidates, in each encoding's symbols.
 
-    A digest of the text tells the length and place, so equal texts have equal decoys. A text that is too short has fewer.
+    A digest of the text tells the length and place, so equal texts have equal decoys. Every other window has its words begin with capitals, as
+    names in code do. A text that is too short has fewer.
     """
     drawn = F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("bigint")
     size = F.element_at(F.array(*[F.lit(n) for n in LENGTHS]), (drawn % len(LENGTHS) + 1).cast("int"))
     window = F.substring(text, (F.floor(drawn / len(LENGTHS)) % F.greatest(F.length(text) - WINDOW * size, F.lit(1)) + 1).cast("int"), WINDOW * size)
-    window = F.array(F.struct(F.regexp_replace(window, "[A-Za-z0-9+/_-]{16,}", "").alias("window"), size.alias("size")))
+    window = F.regexp_replace(window, "[A-Za-z0-9+/_-]{16,}", "")
+    capital = F.array_join(F.transform(F.split(window, " "), lambda w: F.concat(F.translate(F.substring(w, 1, 1), _LOW, _UP), F.substring(w, 2, WINDOW * LENGTHS[-1]))), "")
+    window = F.array(F.struct(F.when(drawn >= 1 << 31, capital).otherwise(window).alias("window"), size.alias("size")))
     each = F.flatten(F.transform(window, lambda w: F.array(*[
         F.struct(F.lit(i).alias("encoding"), F.substring(F.regexp_replace(_in_alphabet(w["window"], F.lit(i)), f"[^{alphabet}]", ""), F.lit(1), w["size"]).alias("value"), w["size"].alias("size"))
         for i, (alphabet, _) in enumerate(ENCODINGS.values())

@@ -92,8 +92,10 @@ strings AS (
   SELECT doc_id, start, stop, rtrim(token, '=') AS token, {encoding.replace('token', "rtrim(token, '=')")} AS e FROM runs_
   WHERE regexp_matches(token, '[A-Za-z]') AND NOT regexp_matches(token, '{HELD}')),
 drawn AS (SELECT doc_id, text, ('0x' || substr(sha256(text), 1, 8))::BIGINT AS d, [{', '.join(map(str, LENGTHS))}][d % {len(LENGTHS)} + 1] AS size FROM texts),
+cut AS (
+  SELECT doc_id, d, size, regexp_replace(substring(text, (d // {len(LENGTHS)}) % greatest(length(text) - {WINDOW} * size, 1) + 1, {WINDOW} * size), '[A-Za-z0-9+/_-]{{16,}}', '', 'g') AS win FROM drawn),
 windows AS (
-  SELECT doc_id, size, regexp_replace(substring(text, (d // {len(LENGTHS)}) % greatest(length(text) - {WINDOW} * size, 1) + 1, {WINDOW} * size), '[A-Za-z0-9+/_-]{{16,}}', '', 'g') AS win FROM drawn),
+  SELECT doc_id, size, CASE WHEN d >= 2147483648 THEN array_to_string(list_transform(string_split(win, ' '), lambda w: translate(substring(w, 1, 1), '{_LOW}', '{_UP}') || substring(w, 2)), '') ELSE win END AS win FROM cut),
 natural_ AS (
   SELECT doc_id, e, size, substring(regexp_replace({cased('win', 'e')}, CASE e {' '.join(f"WHEN {i} THEN '[^{a}]'" for i, (a, _) in enumerate(ENCODINGS.values()))} END, '', 'g'), 1, size) AS value
   FROM windows, alphabets),

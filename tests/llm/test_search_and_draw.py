@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,8 +76,8 @@ def test_search_in_empty_tables(spark):
 
 
 def test_filter_of_terms_lets_false_positives_go(spark, monkeypatch):
-    monkeypatch.setattr(lexical, "SLOTS", 64)
-    monkeypatch.setattr(lexical, "BUCKETS", 2)
+    postings = lexical.postings
+    monkeypatch.setattr(lexical, "postings", lambda docs, slots: postings(docs, np.ones_like(slots)))
     items = spark.createDataFrame([(i, t, 1, 2) for i, t in ITEM_ROWS], ITEMS)
     got = lexical.ranked(docs_of(spark, corpus()), items)
     assert sorted((tuple(r) for r in got.collect()), key=str) == by_score(corpus(), ITEM_ROWS, 50)
@@ -85,8 +86,6 @@ def test_filter_of_terms_lets_false_positives_go(spark, monkeypatch):
 def test_a_hot_term_is_dealt_to_all_parts(spark):
     rows = [(i, "common " + "x" * (i % 7)) for i in range(400)]
     slots = [True] * lexical.SLOTS
-    import numpy as np
-
     index = lexical.postings(docs_of(spark, rows).repartition(8), np.array(slots))
     parts = index.filter("term = 'common'").groupBy(F.spark_partition_id()).count().collect()
     assert len(parts) == 8 and max(r["count"] for r in parts) < 80
