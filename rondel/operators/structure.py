@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DoubleType, IntegerType
 
 #: Tokens that a tile has at least, nodes that a tree may have.
 LEAST_TILE, NODE_LIMIT = 9, 1000
@@ -118,23 +119,23 @@ def _array(x) -> np.ndarray:
     return np.asarray(x, dtype=object)
 
 
-def _pairwise(kind: str, measure):
+def _pairwise(kind: DataType, measure):
     """A function of two columns; null if either is."""
 
     @F.pandas_udf(kind)
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else measure(_array(x), _array(y)) for x, y in zip(a, b)], dtype=object if kind == "int" else "float64")
+        return pd.Series([None if x is None or y is None else measure(_array(x), _array(y)) for x, y in zip(a, b)], dtype=object if isinstance(kind, IntegerType) else "float64")
 
     return run
 
 
 def covered(least: int = LEAST_TILE):
     """Column function of two token arrays: tokens of each that tiles cover; null if either array is."""
-    return _pairwise("int", lambda a, b: sum(t[2] for t in tiles(a, b, least)))
+    return _pairwise(IntegerType(), lambda a, b: sum(t[2] for t in tiles(a, b, least)))
 
 
 #: Column function of two token arrays: twice the tokens in matching blocks over all tokens; not symmetric.
-sequence_ratio = _pairwise("double", lambda a, b: 2 * sum(t[2] for t in blocks(a, b)) / (len(a) + len(b)) if len(a) + len(b) else 1.0)
+sequence_ratio = _pairwise(DoubleType(), lambda a, b: 2 * sum(t[2] for t in blocks(a, b)) / (len(a) + len(b)) if len(a) + len(b) else 1.0)
 
 
 def token_deltas(a: Column, b: Column, dice: Column) -> Column:

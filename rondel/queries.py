@@ -908,3 +908,6 @@ def wilson_without_trials(spark, sf):
     """Some groups have no valid outcome; their bounds are null."""
     seen = outcome_view(spark, sf).withColumn("category", F.when((F.col("problem") == 0) | (F.col("category") == "hop_limit"), "invalid").otherwise(F.col("category")))
     return outcomes.with_wilson(seen, "route", "problem")
+
+
+from rondel import record_queries  # noqa: E402, F401  registers its queries here
