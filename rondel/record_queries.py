@@ -60,7 +60,7 @@ _RUNS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 @query(
     f"""WITH a AS (SELECT o_orderpriority AS run, o_custkey AS problem, c_nationkey AS target, o_orderkey AS attempt, CASE o_orderstatus WHEN 'F' THEN 'success' WHEN 'P' THEN 'api_error' ELSE 'running' END AS status, CASE WHEN o_orderkey % 53 = 0 THEN 'x' ELSE 'c' END AS h, o_orderkey % 59 = 0 AS tool FROM orders JOIN customer ON o_custkey = c_custkey),
-    i AS (SELECT run, problem, target, CASE WHEN problem % 41 = 0 THEN 'z' ELSE 'c' END AS h, min(attempt) FILTER (status = 'success') AS sel, CASE WHEN problem % 37 = 0 THEN -1 ELSE max(attempt) FILTER (status <> 'success') END AS act, true AS indexed FROM a GROUP BY ALL),
+    i AS (SELECT run, problem, target, CASE WHEN problem % 41 = 0 THEN 'z' ELSE 'c' END AS h, min(attempt) FILTER (status = 'success') AS sel, CASE WHEN problem % 37 = 0 THEN -1 ELSE max(attempt) FILTER (status <> 'success') END AS act, true AS indexed FROM a GROUP BY run, problem, target),
     p AS (SELECT run, c_custkey AS problem, c_nationkey AS target FROM customer, (SELECT unnest([{", ".join(f"'{r}'" for r in _RUNS)}]) AS run)),
     j AS (SELECT p.*, i.h, sel, act, coalesce(indexed, false) AS indexed, s.status, s.h AS sh, s.tool, coalesce(sel, act) AS wanted FROM p LEFT JOIN i USING (run, problem, target) LEFT JOIN a s ON s.attempt = coalesce(sel, act) AND s.run = p.run AND s.problem = p.problem),
     f AS (SELECT *, CASE WHEN NOT indexed THEN NULL WHEN h <> 'c' THEN 'index_condition_mismatch' WHEN sel IS NULL AND status IS NULL THEN 'invalid_active_attempt' WHEN sel IS NOT NULL AND sh <> 'c' THEN 'manifest_identity_mismatch' WHEN sel IS NOT NULL AND tool THEN 'unevaluable_attempt' END AS fault FROM j)
@@ -262,7 +262,7 @@ doubled AS (SELECT rule, trial FROM v UNION ALL SELECT rule, trial FROM v WHERE
 def campaign_violations(spark, sf):
     """Outcomes of the hop fold with planted faults, against the rules of a campaign."""
     chains = written(folds.collected(step_view(spark, sf)), "chains")
-    told = folds.hops(chains, THRESHOLDS, 0.80).select("trial", F.explode("outcomes").alias("o")).select("trial", "o.*")
+    told = written(folds.hops(chains, THRESHOLDS, 0.80).select("trial", F.explode("outcomes").alias("o")).select("trial", "o.*"), "outcomes")
     steps = F.transform("steps", lambda s: F.struct(s["step"].alias("step"), s["status"].alias("evaluation_status"), F.when(s["restored"], s["similarity"]).alias("sym_adj")))
     rows = told.join(chains.select("trial", "problem", "route", steps.alias("steps")), "trial")
     hit = F.col("category") == "success"
@@ -387,9 +387,9 @@ def iteration_convergence(spark, sf):
 
 
 @query(
-    """WITH w AS (SELECT doc_id, unnest(x) AS word, unnest(range(len(x))) AS at FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*') AS x FROM documents)),
-    c AS (SELECT doc_id, word, count(*) AS n, min(at) AS at FROM w WHERE length(word) >= 2 GROUP BY ALL)
-    SELECT doc_id, word, n FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, at) = 1"""
+    """WITH w AS (SELECT doc_id, unnest(x) AS word, unnest(range(len(x))) AS pos FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*') AS x FROM documents)),
+    c AS (SELECT doc_id, word, count(*) AS n, min(pos) AS pos FROM w WHERE length(word) >= 2 GROUP BY ALL)
+    SELECT doc_id, word, n FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, pos) = 1"""
 )
 def top_words(spark, sf):
     return diagnostics.top_word(table(spark, sf, "documents"), "doc_id", "text")
