@@ -55,7 +55,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search form alert
 #: Elements that the start of another ends.
 CLOSES = {"p": BLOCKS - {"br"}, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+# A quote opens a value only after an equals sign; elsewhere it is a character like others.
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))|[^>])*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[a-z0-9]+")
 _RAW = frozenset("script style textarea title noscript iframe".split())
@@ -205,14 +206,14 @@ def main_text(pages: DataFrame) -> DataFrame:
     by one space; empty for a null or empty html. n_chars: its code points.
     n_boilerplate: tokens outside the article that a repeated substring covers.
 
-    A repeated row is the same page (pages are told apart by page_id and url), so
-    it makes nothing repeated and gives its result again. Pages without a host form
+    Pages of a host with equal blocks are copies of one page, whatever their ids: they
+    make nothing repeated, and each gives the same result. Pages without a host form
     a host of their own. An empty table gives no rows; other columns are ignored.
     """
     kind = pages.schema["page_id"].dataType.simpleString()
     blocks = page_blocks(pages)
-    # A page's key is told by its content too, so that rows that share an id don't mix.
-    keyed = blocks.withColumn("page", F.xxhash64("page_id", "url", "blocks"))
+    # A page's key is told by its content, so that copies are one page.
+    keyed = blocks.withColumn("page", F.xxhash64("host", "blocks"))
     outside = keyed.select("host", "page", F.filter("blocks", lambda b: b["kind"] != 1)["text"].alias("texts")).filter(F.size("texts") > 0)
 
     def names(batches):
