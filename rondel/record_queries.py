@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rondel.functions import labels, responses
-from rondel.operators import constraints, diagnostics, folds, integrity, replay, schedules, selection
-from rondel.plans.views import STEPS_SQL, table
+from rondel.operators import constraints, diagnostics, folds, gates, integrity, replay, schedules, selection
+from rondel.plans.views import OUTCOMES_SQL, STEPS_SQL, table
+from rondel.plans.views import outcomes as outcome_view
 from rondel.plans.views import steps as step_view
 from rondel.queries import _HOPS, _OK, SQL, THRESHOLDS, query
 from rondel.sources.tables import written
@@ -402,3 +403,74 @@ def call_names(spark, sf):
     name = labels.route_name(F.lit("cpp"), F.lower("o_orderpriority"))
     rows = table(spark, sf, "orders").select("o_orderkey", labels.call_id(F.lit("c"), F.col("o_orderstatus"), F.col("o_custkey"), name, F.col("o_custkey") % 5, F.col("o_orderkey") % 12).alias("call_id"), labels.route_pair(name).alias("p"))
     return rows.select("o_orderkey", "call_id", "p.seed", "p.target")
+
+
+# Gates
+
+
+@query(
+    r"""WITH c AS (SELECT conv_id AS problem, role = 'assistant' AS held, text, array_to_string(list_filter(string_split_regex(text, '\s+'), lambda t: t <> ''), ' ') AS key FROM conversations),
+    s AS (SELECT problem, coalesce(key, '') AS key, count(*) FILTER (held) AS held, count(*) FILTER (NOT held) AS shown, count(*) FILTER (text IS NULL) AS lacking FROM c GROUP BY ALL),
+    p AS (SELECT problem, sum(held) AS e, sum(greatest(held - 1, 0)) AS r, count(*) FILTER (held > 0 AND shown > 0) AS u, sum(lacking) AS m FROM s GROUP BY problem)
+    SELECT problem, 'evaluation_count' AS fault, e::BIGINT AS n FROM p WHERE e <> 2 UNION ALL SELECT problem, 'repeated_input', r::BIGINT FROM p WHERE r > 0 UNION ALL SELECT problem, 'public_input', u FROM p WHERE u > 0 UNION ALL SELECT problem, 'missing_side', m::BIGINT FROM p WHERE m > 0"""
+)
+def corpus_faults(spark, sf):
+    """Conversations as problems: answers are evaluation inputs, of which each should have two, other turns examples."""
+    rows = table(spark, sf, "conversations").select(F.col("conv_id").alias("problem"), F.when(F.col("role") == "assistant", "evaluation").otherwise("prompt_examples").alias("role"), F.col("text").alias("input"), F.col("text").alias("expected"))
+    return gates.corpus_faults(rows, 2)
+
+
+@query(
+    f"""WITH {OUTCOMES_SQL}, c AS (SELECT route, count(*) FILTER (category = 'success') AS hits, count(*) FILTER (category IN ('success', 'functional_failure', 'hop_limit')) AS valid, count(*) AS planned, sum(reached_step) FILTER (category = 'success') AS hops FROM outcomes GROUP BY route),
+    f AS (SELECT *, hits / valid AS p, hops / hits AS h FROM c)
+    SELECT route, 'valid' AS field, valid + 1.0::DOUBLE AS reported, valid::DOUBLE AS recomputed FROM f WHERE route LIKE '1%' UNION ALL SELECT route, 'D', round(h / p, 2) + 0.01, h / p FROM f WHERE route LIKE '2%'"""
+)
+def reported_differences(spark, sf):
+    """Reported metrics of the routes, one with a wrong denominator, one with a wrong distance."""
+    seen = outcome_view(spark, sf)
+    hit = F.col("category") == "success"
+    sums = seen.groupBy("route").agg(F.count_if(hit).alias("hits"), F.count("*").alias("valid"), F.count("*").alias("planned"), F.sum(F.when(hit, F.col("reached_step"))).alias("hops"))
+    p, h = F.col("hits") / F.col("valid"), F.col("hops") / F.col("hits")
+    told = sums.select("route", "hits", F.expr("valid + if(route like '1%', 1, 0)").alias("valid"), "planned", p.alias("P"), h.alias("H"), F.when(F.col("route").like("2%"), F.round(h / p, 2) + 0.01).otherwise(h / p).alias("D"))
+    return gates.reported_differences(told, seen)
+
+
+@query(
+    """WITH r AS (SELECT event_type, 1 + user_id % 3 AS attempts, CASE WHEN k % 5 > 0 THEN value END AS cost, CASE k % 3 WHEN 0 THEN 'reported' WHEN 1 THEN 'estimated' ELSE 'provider_estimated' END AS source, CASE WHEN k % 7 > 0 THEN k END AS prompt, user_id AS completion FROM (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events))
+    SELECT event_type, count(*) AS logical_requests, sum(attempts)::BIGINT AS transport_attempts, count(*) FILTER (cost IS NULL) AS unknown_cost_requests, round(coalesce(sum(cost) FILTER (source <> 'reported'), 0), 6) AS estimated_cost_usd, round(sum(cost) FILTER (source = 'reported'), 6) AS reported_cost_usd,
+    sum(prompt)::BIGINT AS prompt_tokens, sum(completion)::BIGINT AS completion_tokens FROM r GROUP BY event_type"""
+)
+def ledger_split(spark, sf):
+    k = F.col("k")
+    rows = table(spark, sf, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    source = F.when(k % 3 == 0, "reported").when(k % 3 == 1, "estimated").otherwise("provider_estimated")
+    rows = rows.select("event_type", (1 + F.col("user_id") % 3).alias("attempts"), F.when(k % 5 > 0, F.col("value")).alias("cost_usd"), source.alias("cost_source"), F.when(k % 7 > 0, k).alias("prompt_tokens"), F.col("user_id").alias("completion_tokens"))
+    return gates.ledger_split(rows, "event_type")
+
+
+@query(
+    f"""WITH {OUTCOMES_SQL}, s AS (SELECT route, category, CASE WHEN attempt % 4 > 0 THEN price END AS x, CASE WHEN attempt % 3 > 0 THEN 'timeout' END AS reason FROM outcomes)
+    SELECT route, coalesce(reason, 'not_processed') AS reason, count(*) AS n FROM s WHERE category = 'success' AND x IS NULL GROUP BY ALL"""
+)
+def exclusions_by_reason(spark, sf):
+    rows = outcome_view(spark, sf).withColumns({"x": F.when(F.col("attempt") % 4 > 0, F.col("price")), "why": F.when(F.col("attempt") % 3 > 0, "timeout")})
+    return gates.exclusions(rows, "x", "why", "route")
+
+
+@query(
+    f"""WITH {STEPS_SQL}, r AS (SELECT route, step, count(*) FILTER (functional) AS passed, count(*) AS steps FROM steps WHERE step <= 2 GROUP BY ALL)
+    SELECT a.route, a.passed AS passed_1, a.steps AS steps_1, b.passed AS passed_2, b.steps AS steps_2 FROM r a JOIN r b ON a.route = b.route AND a.step = 1 AND b.step = 2"""
+)
+def first_round_trip(spark, sf):
+    """The first step and the second, side by side."""
+    rows = step_view(spark, sf).filter("step <= 2").groupBy("route", F.col("step").cast("string").alias("step")).agg(F.count_if("functional").alias("passed"), F.count("*").alias("steps"))
+    return gates.side_by_side(rows, "route", "step", ["1", "2"], ["passed", "steps"])
+
+
+@query(
+    f"""WITH {OUTCOMES_SQL}, s AS (SELECT 'all' AS subset, * FROM outcomes UNION ALL SELECT 'without_pilot', * FROM outcomes WHERE attempt % 10 <> 0 UNION ALL SELECT 'first_problems', * FROM outcomes WHERE problem < 3)
+    SELECT subset, route, count(*) AS n, count(*) FILTER (category = 'success') AS hits FROM s GROUP BY ALL"""
+)
+def sensitivity_subsets(spark, sf):
+    rows = gates.subsets(outcome_view(spark, sf), {"all": "true", "without_pilot": "attempt % 10 <> 0", "first_problems": "problem < 3"})
+    return rows.groupBy("subset", "route").agg(F.count("*").alias("n"), F.count_if(F.col("category") == "success").alias("hits"))
