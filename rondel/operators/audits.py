@@ -13,7 +13,7 @@ SLOT = ["problem", "route", "attempt"]
 def planned_slots(problems: DataFrame, routes: DataFrame, attempts: int) -> DataFrame:
     """Every problem, route and attempt that a campaign plans; all three are small, given lists."""
     numbered = problems.select("problem").withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(attempts))))
-    return numbered.join(F.broadcast(routes.select("route")), how="cross").select(*SLOT)
+    return numbered.join(routes.select("route"), how="cross").select(*SLOT)
 
 
 def missing(expected: DataFrame, actual: DataFrame, keys: list[str] = SLOT) -> DataFrame:

@@ -60,13 +60,15 @@ def primes(spark: SparkSession, low: int, high: int) -> DataFrame:
 
 
 def sum_targets(rows: DataFrame, target: int) -> DataFrame:
-    """Number of subarrays whose sum is the target: pairs of equal shifted prefix sums, counted by value."""
-    prefix = rows.withColumn("p", F.sum("x").over(_all_before())).select(CASE, "i", "p")
-    start = rows.select(CASE).distinct().select(CASE, F.lit(-1).cast("long").alias("i"), F.lit(0).cast("long").alias("p"))
-    every = prefix.select(CASE, F.col("i").cast("long"), F.col("p").cast("long")).unionByName(start)
-    a, b = every.alias("a"), every.alias("b")
-    pairs = a.join(b, (F.col(f"a.{CASE}") == F.col(f"b.{CASE}")) & (F.col("b.p") - F.col("a.p") == target) & (F.col("a.i") < F.col("b.i")))
-    return rows.select(CASE).distinct().join(pairs.groupBy(F.col(f"a.{CASE}").alias(CASE)).agg(F.count("*").alias("n")), CASE, "left").select(CASE, F.coalesce("n", F.lit(0)).alias("n"))
+    """Number of subarrays whose sum is the target: for each prefix sum, how many earlier ones are less by the target, as a running count."""
+    prefix = rows.withColumn("p", F.sum("x").over(_all_before())).select(CASE, F.col("i").cast("long"), F.col("p").cast("long"))
+    cases = rows.select(CASE).distinct()
+    every = prefix.unionByName(cases.select(CASE, F.lit(-1).cast("long").alias("i"), F.lit(0).cast("long").alias("p")))
+    # Each sum opens subarrays and closes those that a smaller one opened; at one place closing comes first.
+    events = every.withColumn("e", F.explode(F.array(F.struct(F.col("p").alias("value"), F.lit(1).alias("opens")), F.struct((F.col("p") - target).alias("value"), F.lit(0).alias("opens"))))).select(CASE, "i", "e.value", "e.opens")
+    before = Window.partitionBy(CASE, "value").orderBy("i", "opens").rowsBetween(Window.unboundedPreceding, 0)
+    found = events.withColumn("n", F.sum("opens").over(before)).filter("opens = 0").groupBy(CASE).agg(F.sum("n").alias("n"))
+    return cases.join(found, CASE, "left").select(CASE, F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def rope_load(rows: DataFrame) -> DataFrame:

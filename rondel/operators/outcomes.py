@@ -149,7 +149,7 @@ def run_spread(outcomes: DataFrame, run: Column) -> DataFrame:
 
 def group_contrast(outcomes: DataFrame, groups: DataFrame) -> DataFrame:
     """P and D by group of problems, side by side: group first, the others second, and the difference."""
-    cells = _metrics(outcomes.join(F.broadcast(groups), "problem", "left").groupBy("route", "in_group").agg(*_counts()))
+    cells = _metrics(outcomes.join(groups, "problem", "left").groupBy("route", "in_group").agg(*_counts()))
     side = lambda test, name: F.max(F.when(F.col("in_group") == test, F.col(name)))
     out = cells.groupBy("route").agg(*[side(t, n).alias(f"{n}_{w}") for n in ("P", "D") for t, w in ((True, "in"), (False, "out"))])
     return out.withColumn("P_difference", r6(F.col("P_in") - F.col("P_out"))).withColumn("D_difference", r6(F.col("D_in") - F.col("D_out")))

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rondel.functions import labels, responses
-from rondel.operators import constraints, diagnostics, folds, gates, integrity, replay, schedules, selection
+from rondel.operators import audits, chains, constraints, diagnostics, folds, gates, integrity, replay, schedules, selection
 from rondel.plans.views import OUTCOMES_SQL, STEPS_SQL, table
 from rondel.plans.views import outcomes as outcome_view
 from rondel.plans.views import steps as step_view
 from rondel.queries import _HOPS, _OK, SQL, THRESHOLDS, query
-from rondel.sources.tables import written
+from rondel.sources.tables import outcome_rows, written
 
 
 @query(SQL["hops_state_fold"])
@@ -474,3 +474,35 @@ def first_round_trip(spark, sf):
 def sensitivity_subsets(spark, sf):
     rows = gates.subsets(outcome_view(spark, sf), {"all": "true", "without_pilot": "attempt % 10 <> 0", "first_problems": "problem < 3"})
     return rows.groupBy("subset", "route").agg(F.count("*").alias("n"), F.count_if(F.col("category") == "success").alias("hits"))
+
+
+# Records in their nested form
+
+
+@query(
+    f"""WITH {STEPS_SQL}, {_OK}, {_HOPS} SELECT h.route, h.threshold, CASE WHEN h.reached_step IS NOT NULL THEN 'success' WHEN f <= 10 THEN 'functional_failure' WHEN n >= 10 THEN 'hop_limit' ELSE 'incomplete' END AS category, count(*) AS n, sum(h.reached_step)::BIGINT AS hops
+    FROM hop_reach h JOIN w USING (trial) GROUP BY ALL"""
+)
+def outcomes_of_records(spark, sf):
+    """Outcomes by threshold in a map, as records have them, and back in rows."""
+    folded = folds.hops(folds.collected(step_view(spark, sf), 12), THRESHOLDS, 0.80)
+    one = lambda o: F.struct(o["threshold"].alias("key"), F.struct((o["category"] == "success").alias("success"), F.when(o["category"] != "incomplete", o["category"]).alias("category"), o["reached_step"].alias("reached_step"), F.lit(None).cast("int").alias("d_n"), F.lit(None).cast("double").alias("sym_adj"), F.lit(None).cast("string").alias("reason")).alias("value"))
+    records = folded.select(F.col("problem").cast("string").alias("problem_id"), "route", F.col("trial").alias("attempt"), F.lit(None).cast("bigint").alias("repeat"), F.map_from_entries(F.transform("outcomes", one)).alias("outcomes"))
+    rows = outcome_rows(records)
+    return rows.groupBy("route", "threshold", "category").agg(F.count("*").alias("n"), F.sum("reached_step").alias("hops"))
+
+
+@query(
+    """WITH f AS (SELECT o_custkey, o_orderstatus, min(o_orderkey) AS o_orderkey FROM orders GROUP BY ALL)
+    SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) <= 2"""
+)
+def first_distinct_statuses(spark, sf):
+    return chains.first_distinct(table(spark, sf, "orders").select("o_custkey", "o_orderstatus", "o_orderkey"), ["o_custkey"], "o_orderstatus", "o_orderkey", 2)
+
+
+@query(
+    """SELECT l_suppkey AS fault, coalesce(bool_or(l_returnflag <> 'N') FILTER (l_linestatus = 'O'), false) AS detected_before, coalesce(bool_or(l_returnflag <> 'N') FILTER (l_linestatus <> 'O'), false) AS detected_after FROM lineitem GROUP BY 1"""
+)
+def mutant_panel(spark, sf):
+    suite = F.when(F.col("l_linestatus") == "O", "before").otherwise("after")
+    return audits.mutant_panel(table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("fault"), suite.alias("suite"), F.col("l_returnflag").alias("actual"), F.lit("N").alias("expected")))
