@@ -67,6 +67,20 @@ def retry_delay(attempt: Column, header_seconds: Column) -> Column:
     return F.coalesce(header_seconds.cast("double"), F.least(F.pow(F.lit(2.0), attempt), F.lit(8.0)))
 
 
+def header_delay(header: Column, attempt: Column, now: Column) -> Column:
+    """Seconds to wait by a header of seconds or of an HTTP date (in GMT), not less than 0; without a usable one, ``retry_delay``'s."""
+    told = header.try_cast("double")
+    usable = told.isNotNull() & ~F.isnan(told) & (F.abs(told) != float("inf"))
+    date = F.try_to_timestamp(F.regexp_extract(header, r"^\s*(?:[A-Za-z]{3,9},\s*)?(\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2})(?: (?:GMT|UTC|[+-]0000))?\s*$", 1), F.lit("d MMM yyyy HH:mm:ss"))
+    until = (F.unix_micros(date) - F.unix_micros(now)) / 1e6
+    return F.when(usable, F.greatest(told, F.lit(0.0))).when(until.isNotNull(), F.greatest(until, F.lit(0.0))).otherwise(F.least(F.pow(F.lit(2.0), attempt), F.lit(8.0)))
+
+
+def finished(terminal: Column, category: Column) -> Column:
+    """Whether an outcome counts: its chain ended, and its category is known and not invalid."""
+    return F.coalesce(terminal.isNotNull() & (category != "invalid"), F.lit(False))
+
+
 def floor_cents(x: Column) -> Column:
     return (F.floor(x.cast("decimal(20,9)") * 100) / 100).cast("decimal(20,2)")
 

@@ -115,8 +115,7 @@ def canonical_arguments(arguments: Column) -> Column:
 #: The hop protocol's rules on one observation and threshold; ``strict`` rows are records of its own schema, whose steps are evidence.
 _CATEGORIES = ["success", "functional_failure", "hop_limit", "invalid", "incomplete"]
 _REACHED = "category = 'success' and reached_step in (2, 4, 6, 8, 10)"
-CAMPAIGN_RULES = [
-    {"name": "protocol", "holds": "coalesce(protocol, 'rtt-hops-v1.6') = 'rtt-hops-v1.6' and coalesce(schema_version, 'observation-v1.6') = 'observation-v1.6'"},
+_RULES = [
     {"name": "contract_hash", "holds": "contract_hash <=> contract", "when": "contract is not null"},
     {"name": "step_numbering", "holds": "translation_steps <=> size(steps) and size(steps) <= 12 and forall(transform(steps, (s, i) -> s.step <=> i + 1), x -> x)", "when": "strict"},
     {"name": "foreign_distance", "holds": "d_n is null"},
@@ -129,11 +128,18 @@ CAMPAIGN_RULES = [
     {"name": "earlier_reach", "holds": "not exists(slice(steps, 1, greatest(reached_step - 1, 0)), s -> coalesce(s.step, 1) % 2 = 0 and s.sym_adj is not null and s.sym_adj >= threshold)", "when": f"strict and {_REACHED}"},
     {"name": "reach_without_success", "holds": "reached_step is null", "when": "not coalesce(category = 'success', false)"},
 ]
+
+
+def campaign_rules(protocol: str, schema: str) -> list[dict]:
+    """The rules, for records of this protocol and schema; a record that tells neither is taken to be of them."""
+    return [{"name": "protocol", "holds": f"coalesce(protocol, '{protocol}') = '{protocol}' and coalesce(schema_version, '{schema}') = '{schema}'"}, *_RULES]
+
+
 #: Columns in which all observations of a campaign agree.
 ONE_VALUE = ("profile_id", "campaign_id", "phase", "provider", "model")
 
 
-def campaign_violations(records: DataFrame, slots: DataFrame) -> DataFrame:
+def campaign_violations(records: DataFrame, slots: DataFrame, protocol: str, schema: str) -> DataFrame:
     """(rule, problem, route, attempt, threshold): what a campaign's observations break.
 
     ``records``: one row for each slot and threshold: slot, threshold, category, success, reached_step, d_n, protocol, schema_version,
@@ -142,7 +148,7 @@ def campaign_violations(records: DataFrame, slots: DataFrame) -> DataFrame:
     """
     slot = ["problem", "route", "attempt"]
     keys = [*slot, "threshold"]
-    found = violations(records, CAMPAIGN_RULES, keys)
+    found = violations(records, campaign_rules(protocol, schema), keys)
     twice = records.groupBy(*keys).count().filter("count > 1").select(F.lit("repeated_slot").alias("rule"), *keys)
     strange = records.join(slots.select(*slot).distinct(), slot, "left_anti").select(F.lit("unplanned_slot").alias("rule"), *keys)
     out = found.unionByName(twice).unionByName(strange)

@@ -118,3 +118,11 @@ def subsets(rows: DataFrame, conditions: dict[str, str]) -> DataFrame:
     """``rows`` once for each subset (name -> SQL) that they belong to, with its name: sensitivity to what is left out, in one pass."""
     names = F.filter(F.array(*[F.when(F.expr(test), F.lit(name)) for name, test in conditions.items()]), lambda n: n.isNotNull())
     return rows.withColumn("subset", F.explode(names))
+
+
+def measurement_faults(raw: DataFrame, measured: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+    """(keys, fault, raw, measured) where recorded measurements aren't those of the tool's own output: missing on a side, repeated, or another value."""
+    one = lambda df, name: df.groupBy(*keys).agg(F.count("*").alias(f"{name}_rows"), F.max(value).alias(name))
+    joined = one(raw, "raw").join(one(measured, "measured"), keys, "full_outer")
+    fault = F.when(F.col("raw_rows").isNull(), "no_raw_output").when(F.col("measured_rows").isNull(), "not_recorded").when((F.col("raw_rows") > 1) | (F.col("measured_rows") > 1), "repeated").when(~F.col("raw").eqNullSafe(F.col("measured")), "other_value")
+    return joined.select(*keys, fault.alias("fault"), "raw", "measured").filter("fault is not null")

@@ -171,3 +171,28 @@ def bounds(outcomes: DataFrame) -> DataFrame:
 def wide(by_threshold: DataFrame, value: str, thresholds: list[str]) -> DataFrame:
     """One column for each threshold."""
     return by_threshold.groupBy("route").pivot("threshold", thresholds).agg(F.first(value))
+
+
+def fps_totals(outcomes: DataFrame, planned: int) -> DataFrame:
+    """Per route of the state-distance protocol: what was planned and recorded, success by problem and pooled with Wilson's interval, and totals.
+
+    ``outcomes``: (problem, route, category, d_n, duplicate_steps, translation_steps, cost_usd). Anything but invalid is valid; ``planned`` slots are each route's. The cost
+    is that of the known ones, null if none is.
+    """
+    valid, hit = F.col("category") != "invalid", F.col("category") == "success"
+    totals = [F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in ("duplicate_steps", "translation_steps")]
+    cells = outcomes.groupBy("route", "problem").agg(F.count("*").alias("recorded"), F.count_if(valid).alias("valid"), F.count_if(hit).alias("success"), F.count_if(F.col("category") == "invalid").alias("invalid"), F.count(F.when(hit, F.col("d_n"))).alias("told"), *totals, F.sum("cost_usd").alias("cost_usd"))
+    out = cells.withColumn("p", ratio(F.col("success"), F.col("valid"))).groupBy("route").agg(
+        *[F.sum(c).alias(c) for c in ("recorded", "valid", "success", "invalid", "duplicate_steps", "translation_steps", "cost_usd")], F.avg("p").alias("p_sf"), F.count("p").alias("p_sf_problems"), F.count_if(F.col("told") > 0).alias("d_n_problems"),
+    )
+    low, high = wilson(F.col("success"), F.col("valid"))
+    return out.select(
+        "route", F.lit(planned).cast("bigint").alias("planned"), "recorded", (F.lit(planned) - F.col("recorded")).alias("incomplete"), "valid", "success", "invalid", r6(F.col("p_sf")).alias("p_sf"), "p_sf_problems",
+        r6(ratio(F.col("success"), F.col("valid"))).alias("p_sf_pooled"), r6(low).alias("wilson_low"), r6(high).alias("wilson_high"), "d_n_problems", "duplicate_steps", "translation_steps", F.round("cost_usd", 4).alias("cost_usd"),
+    )
+
+
+def downgraded(category: Column, measured: Column, terminal: Column) -> Column:
+    """The category, but invalid for what wasn't reached where a limit stopped a chain of which nothing was measured."""
+    blind = (measured == 0) & terminal.isin("max_distance_reached", "translation_budget_reached")
+    return F.when(F.coalesce(blind, F.lit(False)) & (category != "success"), "invalid").otherwise(category)

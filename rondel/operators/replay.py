@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from rondel.operators.audits import rederived
 from rondel.operators.chains import contiguous_prefix
 from rondel.operators.folds import Protocol, collected
+from rondel.sources.tables import written
 
 
 def states(steps: DataFrame, protocol: Protocol) -> DataFrame:
@@ -34,6 +35,13 @@ def resumed(before: DataFrame, steps: DataFrame, protocol: Protocol) -> DataFram
     return both.select("trial", "problem", "route", "seed_state", F.coalesce(F.element_at("steps", -1)["step"], "through").alias("through"), F.when(F.col("steps").isNull(), F.col("end")).otherwise(folded).alias("end"))
 
 
+def next_steps(states: DataFrame, max_hops: int = 10) -> DataFrame:
+    """(trial, kind) of the step that each chain of the hop protocol does next: ``discovery``, a ``confirmation`` that is due, or ``stop``."""
+    n = F.col("end.n")
+    kind = F.when(F.col("end.ended"), "stop").when(n < max_hops, "discovery").when(F.col("end.due").isNotNull() & F.col("end.confirmation").isNull(), "confirmation").otherwise("stop")
+    return states.select("trial", kind.alias("kind"))
+
+
 def resume_plan(steps: DataFrame, complete: Column) -> DataFrame:
     """(trial, kept, start, previous_status, dropped): what a run of each chain can keep, and where it goes on.
 
@@ -53,7 +61,7 @@ def replayed(recorded: DataFrame, steps: DataFrame, protocol: Protocol, fields:
     reason is ``saved_history_exhausted`` where the steps end before the protocol does. differences: array of (field, recorded,
     derived); nulls are equal to each other. A chain on one side only doesn't match.
     """
-    again = protocol.decided(states(steps, protocol))
+    again = written(protocol.decided(states(steps, protocol)), "replayed")
     found = rederived(recorded.select("trial", *fields), again.select("trial", *fields), ["trial"], fields)
     found = found.groupBy("trial").agg(F.array_sort(F.collect_list(F.struct("field", "recorded", "derived"))).alias("differences"))
     sides = recorded.select("trial", F.lit(True).alias("told")).join(again.select("trial", "terminal", F.lit(True).alias("steps")), "trial", "full_outer").join(found, "trial", "left")

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rondel.functions import labels, responses
-from rondel.operators import audits, chains, constraints, diagnostics, folds, gates, integrity, replay, schedules, selection
+from rondel.operators import audits, chains, constraints, diagnostics, folds, gates, integrity, outcomes, replay, schedules, selection
 from rondel.plans.views import OUTCOMES_SQL, STEPS_SQL, table
 from rondel.plans.views import outcomes as outcome_view
 from rondel.plans.views import steps as step_view
-from rondel.queries import _HOPS, _OK, SQL, THRESHOLDS, query
+from rondel.queries import _HOPS, _OK, _W, _WH, SQL, THRESHOLDS, query
+from rondel.sources import evidence
 from rondel.sources.tables import outcome_rows, written
 
 
@@ -269,12 +270,12 @@ def campaign_violations(spark, sf):
     hit = F.col("category") == "success"
     rows = rows.select(
         "problem", "route", F.col("trial").alias("attempt"), F.col("threshold").cast("double").alias("threshold"), F.expr("if(trial % 19 = 3, 'strange', category)").alias("category"), (hit != (F.col("trial") % 17 == 2)).alias("success"),
-        F.when(hit & (F.col("trial") % 13 == 1), F.col("reached_step") + 2).otherwise(F.col("reached_step")).alias("reached_step"), F.expr("if(trial % 37 = 7, 3, null)").alias("d_n"), F.lit("rtt-hops-v1.6").alias("protocol"),
-        F.expr("if(trial % 23 = 4, 'old', 'observation-v1.6')").alias("schema_version"), F.expr("if(trial % 29 = 5, 'other', 'c')").alias("contract_hash"), F.lit("c").alias("contract"), F.expr("trial % 23 <> 4").alias("strict"),
+        F.when(hit & (F.col("trial") % 13 == 1), F.col("reached_step") + 2).otherwise(F.col("reached_step")).alias("reached_step"), F.expr("if(trial % 37 = 7, 3, null)").alias("d_n"), F.lit("hops").alias("protocol"),
+        F.expr("if(trial % 23 = 4, 'old', 'observation')").alias("schema_version"), F.expr("if(trial % 29 = 5, 'other', 'c')").alias("contract_hash"), F.lit("c").alias("contract"), F.expr("trial % 23 <> 4").alias("strict"),
         F.expr("size(steps) + if(trial % 31 = 6, 1, 0)").alias("translation_steps"), "steps", F.expr("if(trial % 47 = 10, 'pilot', 'main')").alias("phase"),
     )
     records = rows.unionByName(rows.filter("attempt % 43 = 9"))
-    found = constraints.campaign_violations(records, rows.filter("attempt % 41 <> 8").select("problem", "route", "attempt"))
+    found = constraints.campaign_violations(records, rows.filter("attempt % 41 <> 8").select("problem", "route", "attempt"), "hops", "observation")
     return found.groupBy("rule").agg(F.count("*").alias("n"), F.sum("attempt").alias("trials"))
 
 
@@ -506,3 +507,49 @@ def first_distinct_statuses(spark, sf):
 def mutant_panel(spark, sf):
     suite = F.when(F.col("l_linestatus") == "O", "before").otherwise("after")
     return audits.mutant_panel(table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("fault"), suite.alias("suite"), F.col("l_returnflag").alias("actual"), F.lit("N").alias("expected")))
+
+
+_FPS_OUTCOMES = "s AS (SELECT problem, route, CASE WHEN attempt % 6 = 0 AND category <> 'success' THEN 'invalid' ELSE category END AS category, reached_step AS d_n, attempt % 3 AS duplicate_steps, attempt % 12 AS translation_steps, CASE WHEN attempt % 4 > 0 AND route NOT LIKE '3%' THEN price END AS cost_usd FROM outcomes)"
+
+
+@query(
+    f"""WITH {OUTCOMES_SQL}, {_FPS_OUTCOMES}, c AS (SELECT route, problem, count(*) AS recorded, count(*) FILTER (category <> 'invalid') AS valid, count(*) FILTER (category = 'success') AS hits, count(*) FILTER (category = 'invalid') AS invalid, sum(duplicate_steps) AS dup, sum(translation_steps) AS tr, sum(cost_usd) AS cost FROM s GROUP BY ALL),
+    r AS (SELECT route, sum(recorded)::BIGINT AS recorded, sum(valid)::BIGINT AS valid, sum(hits)::BIGINT AS hits, sum(invalid)::BIGINT AS invalid, round(avg(hits / nullif(valid, 0)), 6) AS p_sf, count(nullif(valid, 0)) AS p_sf_problems, count(*) FILTER (hits > 0) AS d_n_problems, sum(dup)::BIGINT AS duplicate_steps, sum(tr)::BIGINT AS translation_steps, round(sum(cost), 4) AS cost_usd FROM c GROUP BY route)
+    SELECT route, 100000::BIGINT AS planned, recorded, 100000 - recorded AS incomplete, valid, hits AS success, invalid, p_sf, p_sf_problems, round(hits / valid, 6) AS p_sf_pooled, round(greatest(0.0, {_W} - {_WH}), 6) AS wilson_low, round(least(1.0, {_W} + {_WH}), 6) AS wilson_high, d_n_problems, duplicate_steps, translation_steps, cost_usd FROM r"""
+)
+def fps_route_totals(spark, sf):
+    """Outcomes of orders as those of the state-distance protocol."""
+    seen = outcome_view(spark, sf)
+    invalid = (F.col("attempt") % 6 == 0) & (F.col("category") != "success")
+    rows = seen.select("problem", "route", F.when(invalid, "invalid").otherwise(F.col("category")).alias("category"), F.col("reached_step").alias("d_n"), (F.col("attempt") % 3).alias("duplicate_steps"), (F.col("attempt") % 12).alias("translation_steps"), F.when((F.col("attempt") % 4 > 0) & ~F.col("route").like("3%"), F.col("price")).alias("cost_usd"))
+    return outcomes.fps_totals(rows, 100_000)
+
+
+@query(
+    """WITH a AS (SELECT o_custkey AS pair, count(*) AS n, max(o_orderkey) AS raw FROM orders WHERE o_orderkey % 7 > 0 GROUP BY 1), b AS (SELECT o_custkey AS pair, count(*) AS n, max(CASE WHEN o_orderkey % 11 = 0 THEN o_orderkey + 1 ELSE o_orderkey END) AS measured FROM orders WHERE o_orderkey % 5 > 0 GROUP BY 1),
+    j AS (SELECT pair, CASE WHEN a.n IS NULL THEN 'no_raw_output' WHEN b.n IS NULL THEN 'not_recorded' WHEN a.n > 1 OR b.n > 1 THEN 'repeated' WHEN raw <> measured THEN 'other_value' END AS fault, raw, measured FROM a FULL JOIN b USING (pair))
+    SELECT * FROM j WHERE fault IS NOT NULL"""
+)
+def measurement_faults(spark, sf):
+    orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("pair"), F.col("o_orderkey").alias("value"))
+    recorded = orders.filter("value % 5 > 0").withColumn("value", F.expr("if(value % 11 = 0, value + 1, value)"))
+    return gates.measurement_faults(orders.filter("value % 7 > 0"), recorded, ["pair"])
+
+
+@query("SELECT 'spend' AS figure, o_orderpriority AS series, o_orderstatus AS x, avg(o_totalprice) AS y, min(o_totalprice) AS low, max(o_totalprice) AS high FROM orders GROUP BY ALL")
+def figure_inputs(spark, sf):
+    rows = table(spark, sf, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(F.avg("o_totalprice").alias("y"), F.min("o_totalprice").alias("low"), F.max("o_totalprice").alias("high"))
+    return evidence.figure_inputs(rows, "spend", "o_orderpriority", "o_orderstatus", "y", "low", "high")
+
+
+@query(
+    f"""WITH {STEPS_SQL}, {_OK}, {_HOPS}, a AS (SELECT trial, count(reached_step) = {len(THRESHOLDS)} AS whole FROM hop_reach GROUP BY trial),
+    e AS (SELECT t.trial, t.confirmation, f IS NOT NULL OR (t.confirmation IS NOT NULL AND (whole OR n >= 10)) OR (n >= 10 AND due IS NULL) AS ended FROM told t JOIN a ON a.trial = t.trial)
+    SELECT trial, CASE WHEN trial % 13 = 0 THEN 'not_recorded' WHEN NOT ended THEN 'saved_history_exhausted' END AS reason, trial % 13 <> 0 AND NOT (trial % 11 = 0 AND confirmation IS DISTINCT FROM 'passed') AS matches FROM e"""
+)
+def replayed_decisions(spark, sf):
+    """Recorded confirmations, some changed and some lost, against decisions from the saved steps."""
+    protocol, steps = folds.hops_protocol(THRESHOLDS, 0.80), step_view(spark, sf).filter("step <= 12")
+    recorded = written(protocol.fold(folds.collected(steps)).select("trial", "confirmation"), "decisions").filter("trial % 13 <> 0")
+    recorded = recorded.withColumn("confirmation", F.when(F.col("trial") % 11 == 0, "passed").otherwise(F.col("confirmation")))
+    return replay.replayed(recorded, steps, protocol, ["confirmation"]).select("trial", "reason", "matches")

@@ -65,3 +65,24 @@ def test_side_by_side(spark):
     assert {r.k: r.n_y for r in gates.side_by_side(rows, "k", "side", ["x", "y"], ["n"], required=False).collect()} == {"a": 3, "b": None}
     with pytest.raises(Exception, match="no row of a side for b"):
         gates.side_by_side(rows, "k", "side", ["x", "y"], ["n"]).collect()
+
+
+def test_totals_of_routes(spark):
+    from rondel.operators import outcomes
+
+    rows = [("p", "r", "success", 3, 1, 4, None), ("p", "r", "budget", None, None, 6, 0.5), ("p", "r", "invalid", None, 2, None, None), ("q", "r", "invalid", None, 0, 1, None), ("q", "s", "budget", None, 0, 2, None)]
+    df = spark.createDataFrame(rows, "problem string, route string, category string, d_n int, duplicate_steps int, translation_steps int, cost_usd double")
+    got = {r.route: r for r in outcomes.fps_totals(df, 10).collect()}
+    r = got["r"]
+    assert (r.planned, r.recorded, r.incomplete, r.valid, r.success, r.invalid, r.p_sf, r.p_sf_problems, r.p_sf_pooled, r.d_n_problems, r.duplicate_steps, r.translation_steps, r.cost_usd) == (10, 4, 6, 2, 1, 2, 0.5, 1, 0.5, 1, 3, 11, 0.5)
+    assert (round(r.wilson_low, 4), round(r.wilson_high, 4)) == (0.0945, 0.9055) and got["s"].cost_usd is None
+    kinds = spark.createDataFrame([("success", 0, "max_distance_reached", "success"), ("budget", 0, "translation_budget_reached", "invalid"), ("budget", 1, "translation_budget_reached", "budget"), ("budget", 0, "timeout", "budget"), ("incomplete", 0, None, "incomplete")], "c string, m int, t string, want string")
+    from pyspark.sql import functions as F
+
+    assert kinds.filter(outcomes.downgraded(F.col("c"), F.col("m"), F.col("t")) != F.col("want")).count() == 0
+
+
+def test_measurement_faults(spark):
+    raw = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", 3.0), ("c", 3.0), ("e", None)], "pair string, value double")
+    measured = spark.createDataFrame([("a", 1.0), ("b", 2.5), ("c", 3.0), ("d", 1.0), ("e", None)], "pair string, value double")
+    assert sorted((r.pair, r.fault) for r in gates.measurement_faults(raw, measured, ["pair"]).collect()) == [("b", "other_value"), ("c", "repeated"), ("d", "no_raw_output")]

@@ -232,7 +232,7 @@ OBSERVATION = "problem int, route string, attempt int, threshold double, categor
 
 def observation(**changes):
     steps = [(1, "success", None), (2, "success", 0.5), (3, "success", None), (4, "success", 0.85)]
-    made = {"problem": 1, "route": "r", "attempt": 1, "threshold": 0.8, "category": "success", "success": True, "reached_step": 4, "d_n": None, "protocol": "rtt-hops-v1.6", "schema_version": "observation-v1.6", "contract_hash": "c", "contract": "c", "strict": True, "translation_steps": 4, "steps": steps, "phase": "main"}
+    made = {"problem": 1, "route": "r", "attempt": 1, "threshold": 0.8, "category": "success", "success": True, "reached_step": 4, "d_n": None, "protocol": "hops", "schema_version": "observation", "contract_hash": "c", "contract": "c", "strict": True, "translation_steps": 4, "steps": steps, "phase": "main"}
     return tuple((made | changes).values())
 
 
@@ -249,10 +249,10 @@ CAMPAIGN = [
 def test_campaign_rules(spark):
     slots = spark.createDataFrame([(1, "r", 1)], "problem int, route string, attempt int")
     for change, rules in CAMPAIGN:
-        found = constraints.campaign_violations(spark.createDataFrame([observation(**change)], OBSERVATION), slots)
+        found = constraints.campaign_violations(spark.createDataFrame([observation(**change)], OBSERVATION), slots, "hops", "observation")
         assert {r.rule for r in found.collect()} == rules, change
     both = spark.createDataFrame([observation(), observation(phase="pilot")], OBSERVATION)
-    assert sorted(r.rule for r in constraints.campaign_violations(both, slots).collect()) == ["mixed_phase", "repeated_slot"]
+    assert sorted(r.rule for r in constraints.campaign_violations(both, slots, "hops", "observation").collect()) == ["mixed_phase", "repeated_slot"]
 
 
 # Responses
@@ -379,7 +379,7 @@ def test_missing_sides_end_the_job(spark):
 
 
 def test_diagnostics(spark, tmp_path):
-    step = tmp_path / "IPOP_1" / "cpp-to-c" / "attempt-1" / "iterations" / "iter-001" / "step-001"
+    step = tmp_path / "p1" / "cpp-to-c" / "attempt-1" / "iterations" / "iter-001" / "step-001"
     os.makedirs(step)
     body = json.dumps({"usage": {"prompt_tokens": 4, "completion_tokens": 2}, "choices": [{"finish_reason": "length"}, {"finish_reason": "stop"}]})
     (step / "api-attempt-1.json").write_text(json.dumps({"seconds": 2.0, "error": None, "http_status": 200, "raw_response": body}))
