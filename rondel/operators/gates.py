@@ -126,3 +126,17 @@ def measurement_faults(raw: DataFrame, measured: DataFrame, keys: list[str], val
     joined = one(raw, "raw").join(one(measured, "measured"), keys, "full_outer")
     fault = F.when(F.col("raw_rows").isNull(), "no_raw_output").when(F.col("measured_rows").isNull(), "not_recorded").when((F.col("raw_rows") > 1) | (F.col("measured_rows") > 1), "repeated").when(~F.col("raw").eqNullSafe(F.col("measured")), "other_value")
     return joined.select(*keys, fault.alias("fault"), "raw", "measured").filter("fault is not null")
+
+
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], mode: str = "report") -> DataFrame:
+    """``rows`` with the columns of ``table`` for their keys, and ``found``: one, none or several entries (of several, none is taken).
+
+    With mode ``fail`` anything but one entry ends the job. Nulls in a key find nothing.
+    """
+    fields = [c for c in table.columns if c not in keys]
+    entries = table.groupBy(*keys).agg(F.count("*").alias("__n"), *[F.first(c).alias(c) for c in fields])
+    out = rows.join(entries, keys, "left")
+    found = F.when(F.col("__n").isNull(), "none").when(F.col("__n") > 1, "several").otherwise("one")
+    if mode == "fail":
+        found = F.when(found != "one", F.raise_error(F.concat_ws(" ", found, F.lit("for"), *keys))).otherwise(found)
+    return out.select(*rows.columns, *[F.when(F.col("__n") == 1, F.col(c)).alias(c) for c in fields], found.alias("found"))

@@ -330,7 +330,18 @@ def threshold_policy(spark, sf):
     return folds.threshold_policy(folds.collected(step_view(spark, sf), 8), 0.8, 8).groupBy("route", "category", "reached_step").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(
+    f"""WITH {STEPS_SQL}, s AS (SELECT * FROM steps WHERE step <= 12), r AS (SELECT trial, row_number() OVER (PARTITION BY trial ORDER BY step) AS t, step, state FROM s WHERE restored UNION ALL SELECT DISTINCT trial, 0, 0, '' FROM s),
+    l AS (SELECT *, {", ".join(f"lag(state, {k}) OVER w AS b{k}" for k in range(1, 8))} FROM r WINDOW w AS (PARTITION BY trial ORDER BY t)),
+    m AS (SELECT trial, step, state = b1 AS same, coalesce((state = b2 AND b1 = b3) OR (state = b3 AND b1 = b4 AND b2 = b5) OR (state = b4 AND b1 = b5 AND b2 = b6 AND b3 = b7), false) AS period FROM l WHERE t > 0),
+    c AS (SELECT trial, min(step) FILTER (same) AS c FROM m GROUP BY trial),
+    k AS (SELECT m.trial, min(step) FILTER (period AND NOT same AND step < coalesce(c, 99)) AS o, min(step) FILTER (NOT same AND step > c) AS b, min(step) FILTER (same AND step > c) AS v FROM m JOIN c ON c.trial = m.trial GROUP BY m.trial),
+    f AS (SELECT trial, min(route) AS route, min(step) FILTER (status <> 'success') AS f, arg_min(status, step) FILTER (status <> 'success') AS failed, max(step) AS n FROM s GROUP BY trial),
+    e AS (SELECT f.*, c, o, b, v, least(coalesce(f, 99), coalesce(o, 99), coalesce(b, 99), coalesce(v, 99), CASE WHEN n >= 12 THEN 12 ELSE 99 END) AS stop FROM f LEFT JOIN c ON c.trial = f.trial LEFT JOIN k ON k.trial = f.trial),
+    g AS (SELECT route, c, CASE WHEN stop = 99 THEN 'incomplete' WHEN stop = f THEN 'functional_failure' WHEN stop = b OR stop = o THEN 'unstable' WHEN stop = v THEN 'success' ELSE 'budget' END AS category,
+      CASE WHEN stop = 99 THEN NULL WHEN stop = f THEN failed WHEN stop = b THEN 'confirmation_failed' WHEN stop = o THEN 'oscillation' WHEN stop = v THEN 'converged' ELSE 'translation_budget_reached' END AS status FROM e)
+    SELECT route, status, category, CASE WHEN category = 'success' THEN c END AS reached_step, count(*) AS n FROM g GROUP BY ALL"""
+)
 def fixed_point_policy(spark, sf):
     return folds.fixed_point_policy(folds.collected(step_view(spark, sf), 12), 1, 12).groupBy("route", "status", "category", "reached_step").agg(F.count("*").alias("n"))
 

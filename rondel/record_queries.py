@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rondel.functions import labels, responses
+from rondel.functions.text import extracted_code
 from rondel.operators import audits, chains, constraints, diagnostics, folds, gates, integrity, outcomes, replay, schedules, selection
 from rondel.plans.views import OUTCOMES_SQL, STEPS_SQL, table
 from rondel.plans.views import outcomes as outcome_view
@@ -553,3 +554,72 @@ def replayed_decisions(spark, sf):
     recorded = written(protocol.fold(folds.collected(steps)).select("trial", "confirmation"), "decisions").filter("trial % 13 <> 0")
     recorded = recorded.withColumn("confirmation", F.when(F.col("trial") % 11 == 0, "passed").otherwise(F.col("confirmation")))
     return replay.replayed(recorded, steps, protocol, ["confirmation"]).select("trial", "reason", "matches")
+
+
+@query("WITH n AS (SELECT n_nationkey AS nation, n_name AS name FROM nation WHERE n_nationkey <> 3 UNION ALL SELECT 5, 'second') SELECT c_custkey, c_nationkey AS nation, CASE WHEN c_nationkey NOT IN (3, 5) THEN n_name END AS name, CASE c_nationkey WHEN 3 THEN 'none' WHEN 5 THEN 'several' ELSE 'one' END AS found FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
+def looked_up_nations(spark, sf):
+    """A lookup table that lacks a key and has another twice."""
+    entries = table(spark, sf, "nation").filter("n_nationkey <> 3").select(F.col("n_nationkey").alias("nation"), F.col("n_name").alias("name"))
+    entries = entries.unionByName(entries.filter("nation = 5").withColumn("name", F.lit("second")))
+    return gates.looked_up(table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("nation")), entries, ["nation"])
+
+
+@query("SELECT o_custkey, array_to_string(list_sort(list_distinct(list(o_orderpriority))), ',') AS priorities FROM orders GROUP BY 1")
+def distinct_priorities(spark, sf):
+    found = diagnostics.distinct_values(table(spark, sf, "orders"), ["o_custkey"], "o_orderpriority")
+    return found.select("o_custkey", F.array_join("values", ",").alias("priorities"))
+
+
+_FENCED = "CASE doc_id % 4 WHEN 0 THEN concat('Here:\n```cpp\n', text, '\n```\ndone') WHEN 1 THEN concat('```\n', lang, '\n```\nor\n```\n', lang, '\n```\n') WHEN 2 THEN concat(text, '\n') ELSE '```cpp\n \n```' END"
+
+
+@query(
+    rf"""WITH r AS (SELECT doc_id, {_FENCED} AS response FROM documents), b AS (SELECT doc_id, response, regexp_extract_all(response, '(?s)```[^\n]*\n(.*?)```', 1) AS blocks FROM r),
+    c AS (SELECT doc_id, len(blocks) AS n, regexp_replace(CASE WHEN len(blocks) = 1 THEN blocks[1] ELSE response END, '^\n+|\n+\z', '', 'g') AS body FROM b),
+    s AS (SELECT doc_id, body, CASE WHEN n > 1 THEN 'multiple_blocks' WHEN regexp_replace(body, '\s', '', 'g') = '' THEN 'empty' ELSE 'ok' END AS status FROM c)
+    SELECT doc_id, status, CASE WHEN status = 'ok' THEN sha256(body) END AS digest FROM s"""
+)
+def extracted_sources(spark, sf):
+    """The source in each response; responses are documents in one fence, in two, in none, and an empty fence."""
+    rows = table(spark, sf, "documents").select("doc_id", F.expr(_FENCED.replace("\n", "\\n")).alias("response"))
+    found = rows.select("doc_id", extracted_code(F.col("response")).alias("e"))
+    return found.select("doc_id", "e.status", F.sha2("e.code", 256).alias("digest"))
+
+
+@query(
+    """SELECT conv_id, turn, sha256('Source language: cpp' || chr(10) || 'Target language: ' || role || chr(10) || 'Specification:' || chr(10) || text || chr(10) || 'Public examples:' || chr(10) || '[{"input": ' || to_json(text) || ', "output": ' || to_json(role) || '}, {"input": ' || to_json(role) || ', "output": ' || to_json(text) || '}]' || chr(10) || 'Source code:' || chr(10) || text) AS digest FROM conversations WHERE text IS NOT NULL AND role IS NOT NULL"""
+)
+def example_prompts(spark, sf):
+    """Prompts with two distinct examples of three."""
+    rows = table(spark, sf, "conversations").filter("text is not null and role is not null")
+    examples = F.array(*[F.struct(F.col(a).alias("input"), F.col(b).alias("output")) for a, b in (("text", "role"), ("text", "role"), ("role", "text"))])
+    return rows.select("conv_id", "turn", F.sha2(labels.example_prompt(F.col("text"), examples, F.col("text"), F.lit("cpp"), F.col("role")), 256).alias("digest"))
+
+
+@query(
+    """WITH f AS (SELECT count(*) AS observed, count(DISTINCT o_orderstatus) AS kinds, sum(o_totalprice) AS cost, count(DISTINCT o_custkey) AS problems FROM orders)
+    SELECT observed > 0 AND kinds = 3 AND cost <= 1 AND problems > 5 AS open, array_to_string(list_filter([CASE WHEN NOT observed > 0 THEN 'observed' END, CASE WHEN NOT kinds = 3 THEN 'kinds' END, CASE WHEN NOT cost <= 1 THEN 'budget' END, CASE WHEN NOT problems > 5 THEN 'problems' END], lambda x: x IS NOT NULL), ',') AS reasons FROM f"""
+)
+def freeze_gate(spark, sf):
+    facts = table(spark, sf, "orders").agg(F.count("*").alias("observed"), F.count_distinct("o_orderstatus").alias("kinds"), F.sum("o_totalprice").alias("cost"), F.count_distinct("o_custkey").alias("problems"))
+    told = gates.gate(facts, {"observed": "observed > 0", "kinds": "kinds = 3", "budget": "cost <= 1", "problems": "problems > 5"})
+    return told.select("open", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("SELECT count(DISTINCT l_suppkey) AS pilot_problems, sum(l_linenumber)::DOUBLE AS pilot_cost, round(sum(l_linenumber)::DOUBLE * 500 / count(DISTINCT l_suppkey), 6) AS projected, sum(l_linenumber)::DOUBLE * 500 / count(DISTINCT l_suppkey) <= 1000 AS within FROM lineitem")
+def pilot_projection(spark, sf):
+    pilot = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("problem"), F.col("l_linenumber").cast("double").alias("cost"))
+    return diagnostics.pilot_projection(pilot, 500, 1000.0).withColumn("projected", F.round("projected", 6))
+
+
+@query(
+    """WITH m AS (SELECT event_type AS language, v AS variant, CASE WHEN v = 'identical' THEN CASE WHEN event_id % 50 > 0 THEN 1.0 ELSE 0.5 END WHEN v = 'short' THEN CASE WHEN event_id % 40 = 0 THEN 0.1 END ELSE CASE WHEN event_id % 9 > 0 THEN (k % 10) / 10.0 END END::DOUBLE AS value
+      FROM (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events), (SELECT unnest(['identical', 'short', 'comment']) AS v)),
+    g AS (SELECT variant, language, count(*) AS n, count(value) AS measured, count(*) - count(value) AS na, avg(value) AS mean, quantile_cont(value, 0.5) AS median, min(value) AS min, max(value) AS max FROM m GROUP BY ALL)
+    SELECT variant, language, n, measured, na, round(mean, 6) AS mean, round(median, 6) AS median, min, max, round(CASE WHEN bool_and(mean IS NOT NULL) OVER w THEN max(mean) OVER w - min(mean) OVER w END, 6) AS spread FROM g WINDOW w AS (PARTITION BY variant)"""
+)
+def analyzer_check(spark, sf):
+    rows = table(spark, sf, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long")).withColumn("variant", F.explode(F.array(*map(F.lit, ("identical", "short", "comment")))))
+    value = F.expr("case when variant = 'identical' then if(event_id % 50 > 0, 1.0d, 0.5d) when variant = 'short' then if(event_id % 40 = 0, 0.1d, null) else if(event_id % 9 > 0, cast(k % 10 as double) / 10, null) end")
+    found = diagnostics.analyzer_check(rows.select("variant", F.col("event_type").alias("language"), value.alias("value")))
+    return found.withColumns({c: F.round(c, 6) for c in ("mean", "median", "spread")})

@@ -86,3 +86,11 @@ def test_measurement_faults(spark):
     raw = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", 3.0), ("c", 3.0), ("e", None)], "pair string, value double")
     measured = spark.createDataFrame([("a", 1.0), ("b", 2.5), ("c", 3.0), ("d", 1.0), ("e", None)], "pair string, value double")
     assert sorted((r.pair, r.fault) for r in gates.measurement_faults(raw, measured, ["pair"]).collect()) == [("b", "other_value"), ("c", "repeated"), ("d", "no_raw_output")]
+
+
+def test_lookups(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, None)], "i int, k string")
+    table = spark.createDataFrame([("a", "x"), ("b", "y"), ("b", "z"), (None, "n")], "k string, v string")
+    assert sorted((r.i, r.v, r.found) for r in gates.looked_up(rows, table, ["k"]).collect()) == [(1, "x", "one"), (2, None, "several"), (3, None, "none"), (4, None, "none")]
+    with pytest.raises(Exception, match="none for c"):
+        gates.looked_up(rows.filter("i = 3"), table, ["k"], "fail").collect()
