@@ -144,14 +144,23 @@ def token_deltas(a: Column, b: Column, dice: Column) -> Column:
     return F.array(one("token_multiset_dice", dice), one("token_sequence_ratio", sequence_ratio(a, b)))
 
 
+def _share(a: Column, b: Column, n: Column) -> Column:
+    total = F.size(a) + F.size(b)
+    return F.when(a.isNotNull() & b.isNotNull() & (total > 0), 2.0 * n / total)
+
+
+def tiling_similarity(a: Column, b: Column, least: int = LEAST_TILE) -> Column:
+    """Twice the tokens that tiles cover over all tokens of two arrays; null if either is, or both are empty."""
+    return _share(a, b, covered(least)(a, b))
+
+
 def tiled(pairs: DataFrame, least: int = LEAST_TILE) -> DataFrame:
     """``pairs`` (a, b: token arrays) with covered and similarity: twice the covered tokens over all tokens.
 
     Arrays that are null, or both empty, have no similarity. Rows stay where they are: there is no shuffle.
     """
-    total = F.size("a") + F.size("b")
     out = pairs.withColumn("covered", covered(least)("a", "b"))
-    return out.withColumn("similarity", F.when(F.col("a").isNotNull() & F.col("b").isNotNull() & (total > 0), 2.0 * F.col("covered") / total))
+    return out.withColumn("similarity", _share(F.col("a"), F.col("b"), F.col("covered")))
 
 
 def measured_pairs(rows: DataFrame, *keys: str, value: str = "similarity") -> DataFrame:

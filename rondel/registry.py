@@ -9,18 +9,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rondel.functions import text
-from rondel.operators import folds, outcomes
+from rondel.operators import folds, outcomes, structure
 
 
 @dataclass(frozen=True)
 class Metric:
-    """build(a, b) gives the value of two source columns; languages empty: all."""
+    """build(a, b) gives the value of two source columns; languages and scopes empty: all; requires: columns that must be there and filled."""
 
     name: str
     version: str
     unit: str
     build: Callable[[Column, Column], Column]
     languages: tuple[str, ...] = ()
+    scopes: tuple[str, ...] = ()
+    requires: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -63,18 +65,25 @@ def register(item) -> None:
     target[item.name] = item
 
 
-def measured(pairs: DataFrame, names: list[str], language: str | None = None) -> DataFrame:
+def measured(pairs: DataFrame, names: list[str], language: str | None = None, scope: str | None = None) -> DataFrame:
     """Long table (pairs' columns, metric, status, value, reason) of the metrics of source columns a and b.
 
-    A metric that isn't for the language, or whose sources are missing, gives a row
-    that says so, never an error.
+    A metric that isn't for the language or scope (``adjacent``, ``origin``, ...), that isn't registered, or whose sources or required columns are
+    missing, gives a row that says so, never an error.
     """
     items = []
     for name in names:
-        metric = METRICS[name]
-        wrong = bool(metric.languages) and language not in metric.languages
-        reason = F.when(F.lit(wrong), "unsupported_language").when(F.col("a").isNull() | F.col("b").isNull(), "missing_source")
-        value = F.when(reason.isNull(), metric.build(F.col("a"), F.col("b")).cast("double"))
+        metric = METRICS.get(name)
+        if metric is None:
+            reason, value = F.lit("unknown_metric"), F.lit(None).cast("double")
+        else:
+            lacking = F.lit(False)
+            for column in metric.requires:
+                lacking = lacking | (F.col(column).isNull() if column in pairs.columns else F.lit(True))
+            wrong = bool(metric.languages) and language not in metric.languages
+            elsewhere = bool(metric.scopes) and scope is not None and scope not in metric.scopes
+            reason = F.when(F.lit(wrong), "unsupported_language").when(F.lit(elsewhere), "unsupported_scope").when(F.col("a").isNull() | F.col("b").isNull(), "missing_source").when(lacking, "missing_requirement")
+            value = F.when(reason.isNull(), metric.build(F.col("a"), F.col("b")).cast("double"))
         items.append(F.struct(F.lit(name).alias("metric"), F.when(reason.isNull() & value.isNotNull(), "measured").otherwise("unavailable").alias("status"), value.alias("value"), reason.alias("reason")))
     return pairs.select("*", F.explode(F.array(*items)).alias("m")).select(*pairs.columns, "m.*")
 
@@ -101,6 +110,8 @@ register(Metric("source_identity", "1", "share", text.source_identity))
 register(Metric("byte_delta", "1", "bytes", text.byte_delta))
 register(Metric("token_dice", "1", "share", lambda a, b: text.dice(text.c_tokens(a), text.c_tokens(b)), ("c", "cpp", "java")))
 register(Metric("sequence_ratio", "1", "share", lambda a, b: text.sequence_ratio(text.c_tokens(a), text.c_tokens(b)), ("c", "cpp", "java")))
+register(Metric("token_tiling", "1", "share", lambda a, b: structure.tiling_similarity(text.c_tokens(a), text.c_tokens(b)), ("c", "cpp", "java")))
+register(Metric("tree_similarity", "1", "share", lambda a, b: structure.tree_similarity()(structure.source_events(text.c_tokens(a)), structure.source_events(text.c_tokens(b)))["value"], ("c", "cpp", "java")))
 register(Policy("threshold", "1", lambda chains, c: folds.threshold_policy(chains, c["threshold"], c["max_steps"]), _needs("threshold", "max_steps")))
 register(Policy("normalized_fixed_point", "1", lambda chains, c: folds.fixed_point_policy(chains, c.get("confirmations", 0), c["max_steps"]), _needs("max_steps")))
 register(Policy("fps", "2", lambda chains, c: folds.fps(chains, c["thresholds"], c["max_states"], c["max_steps"]), _needs("thresholds", "max_states", "max_steps")))

@@ -95,3 +95,39 @@ def test_delays_and_finished_outcomes(spark):
     assert [(r.h, r.d) for r in got] == [(r.h, r.want) for r in got]
     rows = spark.createDataFrame([("x", "success", True), ("x", "invalid", False), (None, "success", False), ("x", None, False)], "t string, c string, want boolean")
     assert rows.filter(stats.finished(F.col("t"), F.col("c")) != F.col("want")).count() == 0
+
+
+def test_commands(spark, tmp_path, capsys):
+    from rondel import cli
+
+    root = tmp_path / "run"
+    root.mkdir()
+    (root / "a.txt").write_text("a")
+    out = str(tmp_path / "seal")
+    assert cli.main(["seal", str(root), out]) == 0 and cli.main(["verify", str(root), out]) == 0
+    (root / "a.txt").write_text("b")
+    assert cli.main(["verify", str(root), out]) == 1
+    manifest = tmp_path / "manifest.csv"
+    manifest.write_text(f"path,sha256\na.txt,{sha(b'b')}\n")
+    assert cli.main(["check-files", str(root), str(manifest)]) == 0
+    manifest.write_text("path,sha256\na.txt,00\n../x,00\n")
+    assert cli.main(["check-files", str(root), str(manifest)]) == 1
+    spark.createDataFrame([("r", "p", "success", 2), ("r", "p", "hop_limit", None)], "route string, problem string, category string, reached_step int").write.parquet(str(tmp_path / "outcomes"))
+    spark.createDataFrame([("t", 1, "success")], "trial string, step int, status string").write.parquet(str(tmp_path / "steps"))
+    capsys.readouterr()
+    assert cli.main(["report", str(tmp_path / "outcomes")]) == 0 and "| r | 2 | 1 | 0.500" in capsys.readouterr().out
+    assert cli.main(["resume", str(tmp_path / "steps")]) == 0
+    assert cli.main(["profiles"]) == 0 and "strict" in capsys.readouterr().out
+
+
+def test_metrics_have_scopes_and_requirements(spark):
+    from rondel import registry
+
+    registry.register(registry.Metric("scoped_test", "1", "share", lambda a, b: F.lit(1.0), scopes=("origin",), requires=("c", "z")))
+    pairs = spark.createDataFrame([(1, "int f(int a) { return a + 1 * 2; }", "int g(int b) { return b + 1 * 2; }", "x"), (2, "int f() {", "x", None), (3, None, "x", None)], "k int, a string, b string, c string")
+    got = {(r.k, r.metric): (r.status, r.value, r.reason) for r in registry.measured(pairs, ["scoped_test", "nothing", "tree_similarity", "token_tiling"], "cpp", "origin").collect()}
+    assert got[(1, "scoped_test")] == ("unavailable", None, "missing_requirement") and got[(1, "nothing")] == ("unavailable", None, "unknown_metric")
+    assert got[(1, "tree_similarity")] == ("measured", 1.0, None) and got[(2, "tree_similarity")] == ("unavailable", None, None)
+    assert got[(1, "token_tiling")][0] == "measured" and got[(3, "token_tiling")] == ("unavailable", None, "missing_source")
+    assert {r.reason for r in registry.measured(pairs, ["scoped_test"], "cpp", "adjacent").collect()} == {"unsupported_scope"}
+    assert {r.value for r in registry.measured(pairs.withColumn("z", F.lit(1)).filter("c is not null"), ["scoped_test"], "cpp", "origin").collect()} == {1.0}

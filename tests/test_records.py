@@ -395,3 +395,20 @@ def test_repeated_step_numbers_stay_single_rows(spark):
     step = lambda n, kind: {"step": n, "kind": kind, "phase": None}
     rows = spark.createDataFrame([{"problem_id": "p", "route": "r", "attempt": 1, "steps": [step(1, "search"), step(1, None), step(2, "confirmation")]}], tables.OBSERVATION)
     assert sorted((r.step, r.phase) for r in tables.step_rows(rows).collect()) == [(1, "discovery"), (1, "discovery"), (2, "confirmation")]
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plans_shuffle_no_more_than_they_must(spark):
+    df = spark.range(10).selectExpr("id", "cast(id as int) n", "cast(id as string) s")
+    rules = [{"column": "n", "min": 1, "max": 5}, {"column": "s", "pattern": "[0-4]"}, {"name": "both", "holds": "n < 9 or s = '9'"}]
+    assert "Exchange" not in plan(constraints.violations(df, rules, ["id"]))
+    records = spark.createDataFrame(sealed(4), CHAIN)
+    # Links inside a range share one shuffle with the ranges' ends; nothing is dealt by the chain alone but those ends.
+    text = plan(integrity.broken_links(records))
+    assert "SinglePartition" not in text and "CartesianProduct" not in text
+    assert "Exchange" not in plan(spark.range(5).select(schedules.permuted(F.col("id"), 5, "k")))
+    digests = plan(integrity.multiset_digest(df.withColumn("part", F.col("n") % 2), "part"))
+    assert digests.count("Exchange hashpartitioning") == 1 and "partial_sum" in digests
