@@ -7,6 +7,7 @@ kernels shuffle by case; folds run inside one row's array.
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
@@ -161,24 +162,30 @@ def unique_paths(rows: Column, columns: Column) -> Column:
 
 
 def next_greater(rows: DataFrame) -> DataFrame:
-    """distance to the next larger element, and its value; null if there is none.
+    """distance to the next larger element, and its value; null if there is none, or no case.
 
-    A case is folded from its end with a stack, in time proportional to its length,
-    where a range join would compare all pairs.
+    A task passes over its cases from their ends with a stack, in time proportional to its rows, however
+    many cases there are and however long one is; a range join would compare all pairs.
     """
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        stack, distance, value = [], [None] * len(pdf), [None] * len(pdf)
-        places, xs = pdf["i"].tolist(), pdf["x"].tolist()
-        for k in range(len(xs) - 1, -1, -1):
-            while stack and xs[stack[-1]] <= xs[k]:
-                stack.pop()
-            if stack:
-                distance[k], value[k] = places[stack[-1]] - places[k], xs[stack[-1]]
-            stack.append(k)
-        return pd.DataFrame({CASE: pdf[CASE], "i": pdf["i"], "distance": pd.array(distance, "Int64"), "value": pd.array(value, "Float64")})
-
-    return rows.select(CASE, "i", F.col("x").cast("double").alias("x")).groupBy(CASE).applyInPandas(fold, f"{CASE} bigint, i bigint, distance bigint, value double")
+
+    def fold(batches):
+        case, stack = None, []
+        for batch in batches:
+            distance, value = [], []
+            for of, i, x in zip(*(c.to_pylist() for c in batch.columns)):
+                if of != case:
+                    case, stack = of, []
+                while stack and x is not None and stack[-1][1] <= x:
+                    stack.pop()
+                known = stack and x is not None and of is not None
+                distance.append(stack[-1][0] - i if known else None)
+                value.append(stack[-1][1] if known else None)
+                if x is not None:
+                    stack.append((i, x))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(distance, pa.int64()), pa.array(value, pa.float64())], names=[CASE, "i", "distance", "value"])
+
+    ordered = rows.select(F.col(CASE).cast("long"), F.col("i").cast("long"), F.col("x").cast("double")).repartition(CASE).sortWithinPartitions(CASE, F.desc("i"))
+    return ordered.mapInArrow(fold, f"{CASE} bigint, i bigint, distance bigint, value double")
 
 
 def bit_counts(n: Column) -> Column:
