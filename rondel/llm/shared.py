@@ -149,14 +149,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span of bytes: prefix sums of a polynomial, shifted to position 0."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    power, inverse = _power_tables(len(data) + 1)
+def prefix_sums(data: np.ndarray) -> np.ndarray:
+    """Sums of a polynomial over all beginnings of the bytes, from which ``span_hashes`` tells spans."""
+    power, _ = _power_tables(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:-1], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts])
+    return sums
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hash of each span of bytes: prefix sums of a polynomial, shifted to position 0. ``sums``: those of ``data``, where they are known."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    sums = prefix_sums(data) if sums is None else sums
+    return mix((sums[ends] - sums[starts]) * _power_tables(len(data) + 1)[1][starts])
 
 
 _SPACE = np.zeros(256, bool)

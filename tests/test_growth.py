@@ -1,6 +1,5 @@
 """Steps whose work must not grow faster than the rows."""
 
-import pytest
 from pyspark.sql import functions as F
 
 from rondel.operators import kernels
@@ -21,3 +20,18 @@ def test_next_greater_streams_cases(spark):
     many = spark.range(200_000).select((F.col("id") + 2).alias("case_id"), F.lit(0).alias("i"), F.col("id").alias("x"))
     assert kernels.next_greater(long.union(many)).filter("distance is null").count() == 230_000
     assert kernels.next_greater(long.withColumn("x", F.when(F.col("i") == 29_999, 1).otherwise(F.col("x")))).agg(F.max("distance")).first()[0] == 29_999
+
+
+def test_fingerprints_sum_their_bytes_once(monkeypatch):
+    """However many levels the phrases have, the bytes' prefix sums are worked out once for a slice."""
+    from rondel.llm import fingerprint, shared
+
+    calls, whole = [], shared.prefix_sums
+    counted = lambda data: calls.append(len(data)) or whole(data)
+    monkeypatch.setattr(shared, "prefix_sums", counted)
+    monkeypatch.setattr(fingerprint, "prefix_sums", counted)
+    texts = [bytes((i * i + i // 7) % 251 for i in range(5000)), b"", b"aaaa", b"abc" * 500]
+    found = fingerprint.signatures(texts)
+    assert len(calls) == 1
+    alone = [fingerprint.signatures([t])[0].tolist() for t in texts]
+    assert [f.tolist() for f in found] == alone and all(a == sorted(set(a)) for a in alone)
