@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from rondel.llm.shared import lean, small_batches
 
 #: Entries of the tables that grow with the text; full, they lose their elder (words), younger (states) or all (pairs) entries.
-WORDS_KEPT, STATES_KEPT, PAIRS_KEPT = 250_000, 150_000, 300_000
+WORDS_KEPT, STATES_KEPT, PAIRS_KEPT = 150_000, 100_000, 200_000
 #: Rows that a worker turns into Python objects at once.
 ROWS = 200
 
@@ -113,25 +113,25 @@ class Transducer:
                     self.children.append({})
                     self.token.append(-1)
             self.token[node] = rank
-        start = ((-1, 0, ()),)
+        # A state is its configurations' fields in a row: last token, node, held, last token, ...
+        start = (-1, 0, ())
         self.states: list[tuple] = [start]
         self.number: dict[tuple, int] = {start: 0}
-        self.moves: list[dict[int, tuple[int, tuple]]] = [{}]
+        # State and byte -> the next state, with what is emitted if anything is.
+        self.moves: dict[int, int | tuple[int, tuple]] = {}
 
     def _forget(self) -> None:
         """Drop the younger half of the states: the beginnings of frequent pieces came first."""
         kept = STATES_KEPT // 2
         for state in self.states[kept:]:
             del self.number[state]
-        del self.states[kept:], self.moves[kept:]
-        for moves in self.moves:
-            for byte in [b for b, (to, _) in moves.items() if to >= kept]:
-                del moves[byte]
+        del self.states[kept:]
+        self.moves = {key: to for key, to in self.moves.items() if key >> 8 < kept and (to if to.__class__ is int else to[0]) < kept}
 
-    def _move(self, state: int, byte: int) -> tuple[int, tuple]:
+    def _move(self, state: int, byte: int) -> int | tuple[int, tuple]:
         alive, boundary = [], None
-        children, tokens = self.children, self.token
-        for last, node, held in self.states[state]:
+        children, tokens, fields = self.children, self.token, iter(self.states[state])
+        for last, node, held in zip(fields, fields, fields):
             node = children[node].get(byte)
             if node is None:
                 continue
@@ -150,28 +150,29 @@ class Transducer:
                 break
             agreed += 1
         emitted = least[:agreed]
-        reached = tuple([(last, node, held[agreed:]) for last, node, held in alive]) if agreed else tuple(alive)
+        reached = tuple([x for last, node, held in alive for x in (last, node, held[agreed:])])
         number = self.number.get(reached)
         if number is None:
             number = self.number[reached] = len(self.states)
             self.states.append(reached)
-            self.moves.append({})
-        self.moves[state][byte] = found = (number, emitted)
+        self.moves[state << 8 | byte] = found = (number, emitted) if emitted else number
         return found
 
     def encode(self, piece: bytes) -> list[int]:
         if len(self.states) > STATES_KEPT:
             self._forget()
-        state, out, moves = 0, [], self.moves
+        state, out, known = 0, [], self.moves.get
         for byte in piece:
-            found = moves[state].get(byte)
+            found = known(state << 8 | byte)
             if found is None:
                 found = self._move(state, byte)
-            state, emitted = found
-            if emitted:
+            if found.__class__ is int:
+                state = found
+            else:
+                state, emitted = found
                 out += emitted
         # The configuration at a boundary, the last one, holds the rest.
-        return out + list(self.states[state][-1][2]) if piece else out
+        return out + list(self.states[state][-1]) if piece else out
 
 
 class Utf8Decoder:

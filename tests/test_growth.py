@@ -35,3 +35,23 @@ def test_fingerprints_sum_their_bytes_once(monkeypatch):
     assert len(calls) == 1
     alone = [fingerprint.signatures([t])[0].tolist() for t in texts]
     assert [f.tolist() for f in found] == alone and all(a == sorted(set(a)) for a in alone)
+
+
+def test_transducer_keeps_its_states_small():
+    """States are rows of fields and moves one table; forgetting keeps both in step, and the encoding as it was."""
+    from rondel.llm import bpe
+
+    ranks = {bytes([b]): b for b in range(256)} | {b"ab": 256, b"abc": 257, b"bc": 258, b"cab": 259, b"abcab": 260}
+    merges = bpe.Merges(ranks)
+    small = bpe.Transducer(merges)
+    assert isinstance(small.moves, dict)
+    words = [w.encode() for w in ("abcabcab", "bcabca", "cabcab", "xabcabx", "a", "")]
+    want = [[ranks[p] for p in merges.merge(w)] for w in words]
+    assert [list(small.encode(w)) for w in words] == want
+    kept, bpe.STATES_KEPT = bpe.STATES_KEPT, 4
+    try:
+        assert [list(small.encode(w)) for w in words * 3] == want * 3
+    finally:
+        bpe.STATES_KEPT = kept
+    small._forget()
+    assert all(key >> 8 < len(small.states) for key in small.moves)
