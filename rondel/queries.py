@@ -490,8 +490,14 @@ def sequence_ratio(spark, sf):
 
 
 def _neighbours(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, a, b): the value of each row and of the row whose key is one higher."""
-    return rows.select(key, F.col(value).alias("a")).join(rows.select((F.col(key) - 1).alias(key), F.col(value).alias("b")), key)
+    """(key, a, b): the value of each row and of the row whose key is one higher.
+
+    Pairs are work for the processors rather than many bytes, so their partitions are not merged by size.
+    """
+    spark = rows.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    first, second = rows.select(key, F.col(value).alias("a")), rows.select((F.col(key) - 1).alias(key), F.col(value).alias("b"))
+    return first.repartition(parts, key).join(second.repartition(parts, key), key)
 
 
 @query()

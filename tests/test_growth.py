@@ -55,3 +55,52 @@ def test_transducer_keeps_its_states_small():
         bpe.STATES_KEPT = kept
     small._forget()
     assert all(key >> 8 < len(small.states) for key in small.moves)
+
+
+def test_neighbours_are_dealt_out(spark):
+    """Pairs cost processors, not bytes: merging partitions by their bytes left one task with all of them."""
+    from rondel import queries
+
+    for name in ("page_tree_similarity", "token_tiling"):
+        found = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert found.select(F.spark_partition_id().alias("p")).distinct().count() > 1, name
+
+
+def test_tree_distance_in_groups(monkeypatch):
+    import random
+
+    import numpy as np
+
+    from rondel.operators import structure
+
+    def brute(a, b, known):
+        # Forests as tuples of (label, forest).
+        if not a or not b:
+            return sum(1 + brute(kids, (), known) for _, kids in a) + sum(1 + brute((), kids, known) for _, kids in b)
+        if (a, b) not in known:
+            (x, xs), (y, ys) = a[-1], b[-1]
+            known[a, b] = min(brute(a[:-1] + xs, b, known) + 1, brute(a, b[:-1] + ys, known) + 1, brute(a[:-1], b[:-1], known) + brute(xs, ys, known) + (x != y))
+        return known[a, b]
+
+    def forest(n):
+        out = []
+        while n > 0:
+            k = random.randint(1, n)
+            out.append((random.choice("ab"), forest(k - 1)))
+            n -= k
+        return tuple(out)
+
+    events = lambda f: [e for label, kids in f for e in ("<" + label, *events(kids), ">" + label)]
+    random.seed(1)
+    for cells in (1, 30, 1 << 21):
+        monkeypatch.setattr(structure, "_CELLS", cells)
+        for _ in range(60):
+            a, b = forest(random.randint(0, 8)), forest(random.randint(0, 8))
+            b = a[:1] + b + a[1:] if random.random() < 0.5 else b
+            assert structure.tree_distance(structure.tree(events(a))[:2], structure.tree(events(b))[:2]) == brute(a, b, {})
+    # No more columns at once than cells allow for, and each key root in one group.
+    first = structure.tree(events(forest(60)))[1]
+    groups = structure._root_groups(first, 40)
+    assert sorted(j for g in groups for level in g for j in level) == structure._roots(first)
+    assert all(len(g) == len(g[0]) == 1 or sum(int(j - first[j]) + 2 for level in g for j in level) <= 40 for g in groups)
+    assert structure._differing(*[(np.array([1, 2, 3, 9]), np.array([0, 1, 0, 0]))] * 2)[0][0].tolist() == [-1]
