@@ -104,3 +104,18 @@ def test_tree_distance_in_groups(monkeypatch):
     assert sorted(j for g in groups for level in g for j in level) == structure._roots(first)
     assert all(len(g) == len(g[0]) == 1 or sum(int(j - first[j]) + 2 for level in g for j in level) <= 40 for g in groups)
     assert structure._differing(*[(np.array([1, 2, 3, 9]), np.array([0, 1, 0, 0]))] * 2)[0][0].tolist() == [-1]
+
+
+def test_tiling_numbers_no_longer_runs_than_needed(monkeypatch):
+    """Two texts without a common run of the least length need the numbers of runs up to it, however long they are."""
+    import numpy as np
+
+    from rondel.operators import structure
+
+    asked, level = [], structure.Runs._level
+    monkeypatch.setattr(structure.Runs, "_level", lambda self, k: asked.append(k) or level(self, k))
+    a, b = np.arange(3000).astype(str).astype(object), np.arange(5000, 9000).astype(str).astype(object)
+    assert structure.tiles(a, b) == [] and max(asked) == 3
+    asked.clear()
+    b[100:112], b[200:209] = a[50:62], a[1000:1009]
+    assert structure.tiles(a, b) == [(50, 100, 12), (1000, 200, 9)] and max(asked) <= 5
