@@ -19,14 +19,14 @@ STEP = ["step", "restored", "status", "similarity", "language", "state"]
 
 @dataclass(frozen=True)
 class Protocol:
-    """A fold: its state before any step, what a step makes of it, and the decision of chains with the state ``end``."""
+    """A fold: its state before any step, what a step makes of it, and the decision of chains with the state ``end``, beside columns to keep."""
 
     zero: Column
     step: Callable[[Column, Column], Column]
-    decided: Callable[[DataFrame], DataFrame]
+    decided: Callable[..., DataFrame]
 
-    def fold(self, chains: DataFrame) -> DataFrame:
-        return self.decided(chains.withColumn("end", F.aggregate("steps", self.zero, self.step)))
+    def fold(self, chains: DataFrame, *keep: str) -> DataFrame:
+        return self.decided(chains.withColumn("end", F.aggregate("steps", self.zero, self.step)), *keep)
 
 
 def collected(steps: DataFrame, most: int | None = None) -> DataFrame:
@@ -99,7 +99,7 @@ def hops_protocol(thresholds: list[float], primary: float, max_hops: int = 10) -
         return F.when(a["ended"], a).otherwise(_with(a, fields, **changes))
 
     out = _by_threshold(thresholds, lambda i, t: (F.col(f"end.c{i}").alias("category"), F.col(f"end.r{i}").alias("reached_step")))
-    return Protocol(zero, step, lambda done: done.select("trial", "problem", "route", F.col("end.confirmation").alias("confirmation"), F.col("end.terminal").alias("terminal"), F.col("end.n").alias("n_steps"), out.alias("outcomes")))
+    return Protocol(zero, step, lambda done, *keep: done.select("trial", "problem", "route", F.col("end.confirmation").alias("confirmation"), F.col("end.terminal").alias("terminal"), F.col("end.n").alias("n_steps"), out.alias("outcomes"), *keep))
 
 
 def fps(chains: DataFrame, thresholds: list[float], max_states: int = 10, max_steps: int = 20, seed: str = "cpp") -> DataFrame:
@@ -149,7 +149,7 @@ def fps_protocol(thresholds: list[float], max_states: int = 10, max_steps: int =
             F.col(f"end.d{i}").alias("d_n"), F.col(f"end.r{i}").alias("reached_step"), F.col(f"end.t{i}").alias("reached_roundtrip"),
         ),
     )
-    return Protocol(zero, step, lambda done: done.select("trial", "problem", "route", F.col("end.terminal").alias("terminal"), F.size("end.seen").alias("states_at_stop"), out.alias("outcomes")))
+    return Protocol(zero, step, lambda done, *keep: done.select("trial", "problem", "route", F.col("end.terminal").alias("terminal"), F.size("end.seen").alias("states_at_stop"), out.alias("outcomes"), *keep))
 
 
 def threshold_policy(chains: DataFrame, threshold: float, max_steps: int) -> DataFrame:

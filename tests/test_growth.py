@@ -119,3 +119,14 @@ def test_tiling_numbers_no_longer_runs_than_needed(monkeypatch):
     asked.clear()
     b[100:112], b[200:209] = a[50:62], a[1000:1009]
     assert structure.tiles(a, b) == [(50, 100, 12), (1000, 200, 9)] and max(asked) <= 5
+
+
+def test_campaign_records_are_not_joined_again(spark, monkeypatch):
+    """Outcomes and steps are written in one row; before, each of the rules' passes joined them, repeated records twice."""
+    from rondel import record_queries
+    from rondel.operators import constraints
+
+    told, real = [], constraints.campaign_violations
+    monkeypatch.setattr(constraints, "campaign_violations", lambda records, *rest: told.append(records) or real(records, *rest))
+    assert record_queries.campaign_violations(spark, "/root/testdata/sf0.001").count() > 0
+    assert "Join" not in plan(told[0])
