@@ -9,10 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rondel.operators.audits import rederived
 from rondel.operators.chains import contiguous_prefix
 from rondel.operators.folds import Protocol, collected
-from rondel.sources.tables import written
 
 
 def states(steps: DataFrame, protocol: Protocol) -> DataFrame:
@@ -61,13 +59,19 @@ def replayed(recorded: DataFrame, steps: DataFrame, protocol: Protocol, fields:
     reason is ``saved_history_exhausted`` where the steps end before the protocol does. differences: array of (field, recorded,
     derived); nulls are equal to each other. A chain on one side only doesn't match.
     """
-    again = written(protocol.decided(states(steps, protocol)), "replayed")
-    found = rederived(recorded.select("trial", *fields), again.select("trial", *fields), ["trial"], fields)
-    found = found.groupBy("trial").agg(F.array_sort(F.collect_list(F.struct("field", "recorded", "derived"))).alias("differences"))
-    sides = recorded.select("trial", F.lit(True).alias("told")).join(again.select("trial", "terminal", F.lit(True).alias("steps")), "trial", "full_outer").join(found, "trial", "left")
+    return replayed_chains(recorded, collected(steps), protocol, fields)
+
+
+def replayed_chains(recorded: DataFrame, chains: DataFrame, protocol: Protocol, fields: list[str]) -> DataFrame:
+    """``replayed`` from chains of ``collected``; a chain's recorded and derived decisions meet in one join."""
+    again = protocol.fold(chains).select("trial", "terminal", F.lit(True).alias("steps"), *[F.col(f).alias(f"{f}__derived") for f in fields])
+    told = recorded.select("trial", F.lit(True).alias("told"), *[F.col(f).alias(f"{f}__recorded") for f in fields])
+    both = told.join(again, "trial", "full_outer")
+    one = lambda f: F.when(~F.col(f"{f}__recorded").eqNullSafe(F.col(f"{f}__derived")), F.struct(F.lit(f).alias("field"), F.col(f"{f}__recorded").cast("string").alias("recorded"), F.col(f"{f}__derived").cast("string").alias("derived")))
+    differences = F.array_sort(F.filter(F.array(*map(one, fields)), lambda x: x.isNotNull()))
     reason = F.when(F.col("steps").isNull(), "no_steps").when(F.col("told").isNull(), "not_recorded").when(F.col("terminal").isNull(), "saved_history_exhausted")
-    none = F.array().cast("array<struct<field:string,recorded:string,derived:string>>")
-    return sides.select("trial", reason.alias("reason"), (F.col("differences").isNull() & F.col("steps").isNotNull() & F.col("told").isNotNull()).alias("matches"), F.coalesce("differences", none).alias("differences"))
+    both = both.withColumn("differences", differences)
+    return both.select("trial", reason.alias("reason"), ((F.size("differences") == 0) & F.col("steps").isNotNull() & F.col("told").isNotNull()).alias("matches"), "differences")
 
 
 def replay_summary(replays: DataFrame) -> DataFrame:

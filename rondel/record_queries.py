@@ -551,9 +551,10 @@ def figure_inputs(spark, sf):
 def replayed_decisions(spark, sf):
     """Recorded confirmations, some changed and some lost, against decisions from the saved steps."""
     protocol, steps = folds.hops_protocol(THRESHOLDS, 0.80), step_view(spark, sf).filter("step <= 12")
-    recorded = written(protocol.fold(folds.collected(steps)).select("trial", "confirmation"), "decisions").filter("trial % 13 <> 0")
+    chains = written(folds.collected(steps), "chains")
+    recorded = protocol.fold(chains).select("trial", "confirmation").filter("trial % 13 <> 0")
     recorded = recorded.withColumn("confirmation", F.when(F.col("trial") % 11 == 0, "passed").otherwise(F.col("confirmation")))
-    return replay.replayed(recorded, steps, protocol, ["confirmation"]).select("trial", "reason", "matches")
+    return replay.replayed_chains(recorded, chains, protocol, ["confirmation"]).select("trial", "reason", "matches")
 
 
 @query("WITH n AS (SELECT n_nationkey AS nation, n_name AS name FROM nation WHERE n_nationkey <> 3 UNION ALL SELECT 5, 'second') SELECT c_custkey, c_nationkey AS nation, CASE WHEN c_nationkey NOT IN (3, 5) THEN n_name END AS name, CASE c_nationkey WHEN 3 THEN 'none' WHEN 5 THEN 'several' ELSE 'one' END AS found FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")

@@ -130,3 +130,20 @@ def test_campaign_records_are_not_joined_again(spark, monkeypatch):
     monkeypatch.setattr(constraints, "campaign_violations", lambda records, *rest: told.append(records) or real(records, *rest))
     assert record_queries.campaign_violations(spark, "/root/testdata/sf0.001").count() > 0
     assert "Join" not in plan(told[0])
+
+
+def test_replay_meets_its_records_in_one_join(spark):
+    from rondel.operators import folds, replay
+
+    steps = spark.createDataFrame([(t, 1, "r", n, n % 2 == 0, "success", 0.9, "cpp", "s", "s") for t in range(4) for n in range(1, 13)], "trial long, problem int, route string, step int, restored boolean, status string, similarity double, language string, state string, seed_state string")
+    protocol = folds.hops_protocol([0.7, 0.8, 0.9], 0.80)
+    chains = folds.collected(steps)
+    recorded = spark.createDataFrame([(0, "passed"), (1, "failed"), (2, None), (9, "passed")], "trial long, confirmation string")
+    found = replay.replayed(recorded, steps, protocol, ["confirmation"])
+    text = plan(replay.replayed_chains(recorded, chains, protocol, ["confirmation"]))
+    assert text.count("FullOuter") == 1 and "LeftOuter" not in text
+    got = {r.trial: (r.reason, r.matches, [tuple(d) for d in r.differences]) for r in found.collect()}
+    assert got == {
+        0: (None, True, []), 1: (None, False, [("confirmation", "failed", "passed")]), 2: (None, False, [("confirmation", None, "passed")]),
+        3: ("not_recorded", False, [("confirmation", None, "passed")]), 9: ("no_steps", False, [("confirmation", "passed", None)]),
+    }
