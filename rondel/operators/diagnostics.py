@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -168,12 +171,41 @@ def analyzer_faults(measured: DataFrame) -> DataFrame:
 
 
 def top_word(sources: DataFrame, key: str, column: str = "source", keywords: tuple[str, ...] = ()) -> DataFrame:
-    """(key, word, n): the identifier of two letters or more that a source has most often; of equals, that which comes first."""
-    words = sources.select(key, F.posexplode(F.regexp_extract_all(column, F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0))).alias("at", "word")).filter(F.length("word") >= 2)
-    words = words.filter(~F.col("word").isin(*keywords)) if keywords else words
-    counted = words.groupBy(key, "word").agg(F.count("*").alias("n"), F.min("at").alias("at"))
-    best = counted.groupBy(key).agg(F.max(F.struct("n", -F.col("at"), "word")).alias("b"))
-    return best.select(key, F.col("b.word").alias("word"), F.col("b.n").alias("n"))
+    """(key, word, n): the identifier of two letters or more that a source has most often; of equals, that which comes first.
+
+    The sources are shuffled once, as they are, and a task counts one key's words after the other's; words are not shuffled.
+    """
+    spark = sources.sparkSession
+    kind = sources.schema[key].dataType.simpleString()
+    identifiers, drop = re.compile("[A-Za-z_][A-Za-z0-9_]*").findall, frozenset(keywords)
+
+    def best(of, counted: dict, places: dict):
+        if counted:
+            word = max(counted, key=lambda w: (counted[w], -places[w], w))
+            yield {key: of, "word": word, "n": counted[word]}
+
+    def count(batches):
+        last, counted, places = None, {}, {}
+        for batch in batches:
+            out, schema = [], pa.schema([(key, batch.schema.field(0).type), ("word", pa.string()), ("n", pa.int64())])
+            for of, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if of != last:
+                    out += best(last, counted, places)
+                    last, counted, places = of, {}, {}
+                for at, word in enumerate(identifiers(source)):
+                    if len(word) < 2 or word in drop:
+                        continue
+                    n = counted.get(word)
+                    if n is None or at < places[word]:
+                        places[word] = at
+                    counted[word] = (n or 0) + 1
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+        if counted:
+            yield pa.RecordBatch.from_pylist([*best(last, counted, places)], schema=schema)
+
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    rows = sources.select(key, column).filter(F.col(column).isNotNull()).repartition(parts, key).sortWithinPartitions(key)
+    return rows.mapInArrow(count, f"{key} {kind}, word string, n bigint")
 
 
 def distinct_values(rows: DataFrame, keys: list[str], column: str) -> DataFrame:

@@ -147,3 +147,13 @@ def test_replay_meets_its_records_in_one_join(spark):
         0: (None, True, []), 1: (None, False, [("confirmation", "failed", "passed")]), 2: (None, False, [("confirmation", None, "passed")]),
         3: ("not_recorded", False, [("confirmation", None, "passed")]), 9: ("no_steps", False, [("confirmation", "passed", None)]),
     }
+
+
+def test_top_words_are_not_shuffled(spark):
+    from rondel.operators import diagnostics
+
+    rows = [(1, "bb a bb int cc cc"), (1, "cc x1 x1 x1"), (2, "a b 1"), (3, None), (4, "zz yy"), (None, "nn"), (4, "yy")]
+    sources = spark.createDataFrame(rows, "k long, source string")
+    found = diagnostics.top_word(sources, "k")
+    assert sorted((r.k or 0, r.word, r.n) for r in found.collect()) == [(0, "nn", 1), (1, "x1", 3), (4, "yy", 2)]
+    assert plan(found).count("Exchange") == 1 and "Generate" not in plan(found)
