@@ -51,27 +51,35 @@ def _truthy(value: Column, path: str) -> Column:
     return _kind(value, path).isNotNull() & ~F.coalesce(text.isin("", "false", "0", "0.0", "{}", "[]"), F.lit(False))
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once for a row, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def normalised_response(raw: Column, protocol: Column | None = None) -> Column:
     """struct(protocol, status, text, finish_reason, request_id, actual_model, prompt_tokens, completion_tokens, total_tokens, cost_usd, cost_source).
 
     status is ``ok`` or the first fault: not_an_object, provider_error, unknown_protocol, choices_not_a_list, multiple_choices, content_not_text,
     output_not_a_list, not_completed, usage_not_an_object, invalid_cost. A faulty response has nothing but its protocol and status.
     """
-    body = F.try_parse_json(raw)
-    protocol = F.coalesce(protocol, protocol_of(body)) if protocol is not None else protocol_of(body)
+    return _let(F.try_parse_json(raw), lambda body: _let(_read(body, protocol), lambda read: _let(_fault(body, read), lambda fault: _normalised(body, read, fault))))
+
+
+def _read(body: Column, protocol: Column | None) -> Column:
+    """struct(protocol, content, state, usage, cost, number): what faults and fields are told from."""
+    own = protocol_of(body)
+    parts = {
+        "protocol": own if protocol is None else F.coalesce(protocol, own), "content": _kind(body, "$.choices[0].message.content"), "state": _text(body, "$.status"),
+        "usage": _kind(body, "$.usage"), "cost": _kind(body, "$.usage.cost"), "number": F.try_variant_get(body, "$.usage.cost", "double"),
+    }
+    return F.struct(*[part.alias(name) for name, part in parts.items()])
+
+
+def _fault(body: Column, read: Column) -> Column:
+    protocol, content, state, usage, cost, number = (read[n] for n in ("protocol", "content", "state", "usage", "cost", "number"))
     chat, responses = protocol == PROTOCOLS[0], protocol == PROTOCOLS[1]
     choices = F.try_variant_get(body, "$.choices", "array<variant>")
-    content = _kind(body, "$.choices[0].message.content")
-    messages = F.filter(
-        F.coalesce(F.try_variant_get(body, "$.output", "array<variant>"), F.array().cast("array<variant>")),
-        lambda item: (_text(item, "$.type") == "message") & (F.coalesce(_text(item, "$.role"), F.lit("assistant")) == "assistant"),
-    )
-    parts = F.flatten(F.transform(messages, lambda item: F.coalesce(F.try_variant_get(item, "$.content", "array<variant>"), F.array().cast("array<variant>"))))
-    joined = F.array_join(F.transform(F.filter(parts, lambda p: _text(p, "$.type") == "output_text"), lambda p: _text(p, "$.text")), "")
-    state = _text(body, "$.status")
-    usage, cost = _kind(body, "$.usage"), _kind(body, "$.usage.cost")
-    number = F.try_variant_get(body, "$.usage.cost", "double")
-    fault = (
+    return (
         F.when(F.coalesce(_kind(body) != "OBJECT", F.lit(True)), "not_an_object")
         .when(_truthy(body, "$.error"), "provider_error")
         .when(protocol.isNull() | ~protocol.isin(*PROTOCOLS), "unknown_protocol")
@@ -83,6 +91,17 @@ def normalised_response(raw: Column, protocol: Column | None = None) -> Column:
         .when(F.coalesce(usage != "OBJECT", F.lit(False)), "usage_not_an_object")
         .when(cost.isNotNull() & (~cost.isin("BIGINT", "DOUBLE", "DECIMAL", "FLOAT") | F.isnan(number) | (number < 0) | (number == float("inf"))), "invalid_cost")
     )
+
+
+def _normalised(body: Column, read: Column, fault: Column) -> Column:
+    protocol, content, state, cost, number = (read[n] for n in ("protocol", "content", "state", "cost", "number"))
+    chat, responses = protocol == PROTOCOLS[0], protocol == PROTOCOLS[1]
+    messages = F.filter(
+        F.coalesce(F.try_variant_get(body, "$.output", "array<variant>"), F.array().cast("array<variant>")),
+        lambda item: (_text(item, "$.type") == "message") & (F.coalesce(_text(item, "$.role"), F.lit("assistant")) == "assistant"),
+    )
+    parts = F.flatten(F.transform(messages, lambda item: F.coalesce(F.try_variant_get(item, "$.content", "array<variant>"), F.array().cast("array<variant>"))))
+    joined = F.array_join(F.transform(F.filter(parts, lambda p: _text(p, "$.type") == "output_text"), lambda p: _text(p, "$.text")), "")
     text = F.when(chat, F.when(content == "STRING", _text(body, "$.choices[0].message.content")).otherwise("")).when(responses, joined).otherwise(F.coalesce(_text(body, "$.text"), F.lit("")))
     details = _text(body, "$.incomplete_details.reason")
     finish = F.when(chat, _text(body, "$.choices[0].finish_reason")).when(responses, F.when(state == "completed", "stop").when(details == "max_output_tokens", "length").otherwise(state)).otherwise(_text(body, "$.finish_reason"))

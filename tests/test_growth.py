@@ -155,5 +155,17 @@ def test_top_words_are_not_shuffled(spark):
     rows = [(1, "bb a bb int cc cc"), (1, "cc x1 x1 x1"), (2, "a b 1"), (3, None), (4, "zz yy"), (None, "nn"), (4, "yy")]
     sources = spark.createDataFrame(rows, "k long, source string")
     found = diagnostics.top_word(sources, "k")
-    assert sorted((r.k or 0, r.word, r.n) for r in found.collect()) == [(0, "nn", 1), (1, "x1", 3), (4, "yy", 2)]
-    assert plan(found).count("Exchange") == 1 and "Generate" not in plan(found)
+    assert sorted((r.k or 0, r.word, r.n) for r in found.collect()) == [(0, "nn", 1), (1, "cc", 3), (4, "yy", 2)]
+    steps = diagnostics.top_word(sources, "k")._jdf.queryExecution().optimizedPlan().toString()
+    assert steps.count("RepartitionByExpression") == 1 and "Generate" not in steps and "Aggregate" not in steps
+
+
+def test_a_response_is_parsed_once(spark):
+    from rondel.functions import responses
+
+    raw = '{"id":"r1","model":"m","choices":[{"message":{"content":"t"},"finish_reason":"stop"}],"usage":{"prompt_tokens":3,"cost":0.5}}'
+    rows = spark.createDataFrame([(raw,), ("[1]",), (None,)], "raw string")
+    found = rows.select(responses.normalised_response(F.col("raw")).alias("n")).select("n.*")
+    got = [(r.protocol, r.status, r.text, r.prompt_tokens, r.cost_usd) for r in found.collect()]
+    assert got == [("chat_completions", "ok", "t", 3, 0.5), (None, "not_an_object", None, None, None), (None, "not_an_object", None, None, None)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().lower().replace("_", "").count("parsejson") == 1
