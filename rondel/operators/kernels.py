@@ -61,15 +61,33 @@ def primes(spark: SparkSession, low: int, high: int) -> DataFrame:
 
 
 def sum_targets(rows: DataFrame, target: int) -> DataFrame:
-    """Number of subarrays whose sum is the target: for each prefix sum, how many earlier ones are less by the target, as a running count."""
-    prefix = rows.withColumn("p", F.sum("x").over(_all_before())).select(CASE, F.col("i").cast("long"), F.col("p").cast("long"))
-    cases = rows.select(CASE).distinct()
-    every = prefix.unionByName(cases.select(CASE, F.lit(-1).cast("long").alias("i"), F.lit(0).cast("long").alias("p")))
-    # Each sum opens subarrays and closes those that a smaller one opened; at one place closing comes first.
-    events = every.withColumn("e", F.explode(F.array(F.struct(F.col("p").alias("value"), F.lit(1).alias("opens")), F.struct((F.col("p") - target).alias("value"), F.lit(0).alias("opens"))))).select(CASE, "i", "e.value", "e.opens")
-    before = Window.partitionBy(CASE, "value").orderBy("i", "opens").rowsBetween(Window.unboundedPreceding, 0)
-    found = events.withColumn("n", F.sum("opens").over(before)).filter("opens = 0").groupBy(CASE).agg(F.sum("n").alias("n"))
-    return cases.join(found, CASE, "left").select(CASE, F.coalesce("n", F.lit(0)).alias("n"))
+    """Number of subarrays whose sum is the target: for each prefix sum, how many earlier ones are less by the target.
+
+    A task passes over its cases in order, with the counts of one case's prefix sums; it keeps no table of all sums.
+    """
+
+    def fold(batches):
+        last = ()
+        for batch in batches:
+            cases, found = [], []
+            for case, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if (case,) != last:
+                    if last:
+                        cases.append(last[0])
+                        found.append(n)
+                    # The empty sum comes before all; a null adds nothing, and before the first number there is no sum.
+                    last, seen, total, n, begun = (case,), {0: 1}, 0, 0, False
+                if x is not None:
+                    total, begun = total + x, True
+                if begun and case is not None:
+                    n += seen.get(total - target, 0)
+                    seen[total] = seen.get(total, 0) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(cases, pa.int64()), pa.array(found, pa.int64())], names=[CASE, "n"])
+        if last:
+            yield pa.RecordBatch.from_arrays([pa.array([last[0]], pa.int64()), pa.array([n], pa.int64())], names=[CASE, "n"])
+
+    ordered = rows.select(F.col(CASE).cast("long"), F.col("x").cast("long"), "i").repartition(CASE).sortWithinPartitions(CASE, "i")
+    return ordered.mapInArrow(fold, f"{CASE} bigint, n bigint")
 
 
 def rope_load(rows: DataFrame) -> DataFrame:

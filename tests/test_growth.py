@@ -169,3 +169,23 @@ def test_a_response_is_parsed_once(spark):
     got = [(r.protocol, r.status, r.text, r.prompt_tokens, r.cost_usd) for r in found.collect()]
     assert got == [("chat_completions", "ok", "t", 3, 0.5), (None, "not_an_object", None, None, None), (None, "not_an_object", None, None, None)]
     assert found._jdf.queryExecution().optimizedPlan().toString().lower().replace("_", "").count("parsejson") == 1
+
+
+def test_sum_targets_keeps_one_case(spark):
+    """Against all pairs, in one grouping by case: no table of all sums, no join of the cases."""
+    import random
+
+    random.seed(2)
+    rows = [(c, i, None if random.random() < 0.1 else random.randint(-2, 3)) for c in range(6) for i in range(30)] + [(None, 0, 2), (9, 0, None)]
+    for target in (0, 2):
+        want = {None: 0, 9: 0}
+        for c in range(6):
+            sums, total = [0], None
+            for x in (x for of, _, x in rows if of == c):
+                total = total if x is None else (total or 0) + x
+                sums.append(total)
+            want[c] = sum(b is not None and b - a == target for k, b in enumerate(sums) for a in sums[:k] if a is not None)
+        frame = spark.createDataFrame(rows, "case_id long, i int, x long")
+        assert {r.case_id: r.n for r in kernels.sum_targets(frame, target).collect()} == want
+        steps = kernels.sum_targets(frame, target)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in steps and "Window" not in steps
